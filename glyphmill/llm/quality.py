@@ -34,7 +34,7 @@ class Rule:
 #: None of these can reject an ordinary text: each asks for a share that prose stays far from.
 RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("repeated_lines", "n_dup_lines > 0 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     Rule("capitals", r"2 * char_length(regexp_replace(text, '[^\\p{Lu}]+', '')) > char_length(regexp_replace(text, '[^\\p{L}]+', ''))"),
     Rule("few_letters", r"2 * char_length(regexp_replace(text, '[^\\p{L}]+', '')) < word_chars"),
@@ -126,7 +126,7 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
         len(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, len(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS capitals,
         len(text) - len(regexp_replace(text, '[!?]', '', 'g')) AS marks FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_dup_lines > 0 AND 10 * n_dup_lines > 3 * n_lines)
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * capitals > letters OR 2 * letters < word_chars
     OR 10 * marks > 3 * n_words
     OR (n_lines >= 10 AND 10 * len(list_filter(ls, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) > 3 * n_lines)

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, sentencepiece, simhash
+from . import classify, language, quality, sentencepiece, simhash
 from .common import fold, table
 
 PIECES = os.environ.get("GLYPHMILL_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digest(table(spark, sf_dir, "documents"), sentencepiece.load(PIECES))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.identify(documents, language.fit(documents, learns=language.learnable()))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classify.fit_quality(documents, labels, fold("doc_id", 3) != 1)
+    return classify.score_quality(documents, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classify.fit_toxicity(documents, labels, fold("doc_id", 5) != 0, fold("doc_id", 5) != 0)
+    return classify.score_marks(documents, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
