@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classify, language, quality, sentencepiece, simhash
+from . import classify, language, packing, private, quality, sentencepiece, simhash
 from .common import fold, table
 
 PIECES = os.environ.get("GLYPHMILL_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(WORDS, "rb") as f:
+        return packing.pack(table(spark, sf_dir, "documents"), f.read())
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = classify.fit_quality(documents, labels, fold("doc_id", 3) != 1)
@@ -36,6 +41,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.score_marks(documents, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
