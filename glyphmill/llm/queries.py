@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classify, language, packing, private, quality, sentencepiece, simhash, wrappers
+from . import classify, language, neighbours, packing, private, quality, sentencepiece, simhash, wrappers
 from .common import fold, table
 
 PIECES = os.environ.get("GLYPHMILL_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.digest(table(spark, sf_dir, "documents"), sentencepiece.load(PIECES))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("key") % 20 == 0)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = language.identify(documents, language.fit(documents, learns=language.learnable()))
