@@ -146,3 +146,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     roots = components(links(classes.where("rep IS NOT NULL")))
     labels = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(labels, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each component, that of the smallest key; of rows with one key, one. Rows without a key go."""
+    found = near_duplicates(df, key, text)
+    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return df.join(kept, key, "left_semi").dropDuplicates([key]).select(df.columns)
