@@ -242,7 +242,8 @@ def score_quality(df: DataFrame, model: Subwords, key: str = "doc_id", text: str
 
         return lambda batch: {"key": batch.column(0), "score": pa.array(map(one, batch.column(1).to_pylist()), pa.float64())}
 
-    return _scores(df, key, text, start)
+    token = common.token()
+    return _scores(df, key, text, lambda: common.per_worker("quality", token, start))
 
 
 def score_marks(df: DataFrame, model: Marks, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,7 +263,8 @@ def score_marks(df: DataFrame, model: Marks, key: str = "doc_id", text: str = "t
 
         return lambda batch: {"key": batch.column(0), "score": pa.array(map(one, batch.column(1).to_pylist()), pa.float64())}
 
-    return _scores(df, key, text, start)
+    token = common.token()
+    return _scores(df, key, text, lambda: common.per_worker("toxicity", token, start))
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, learns: Column, bound: int = PER_CLASS) -> Subwords:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 1000
 
 #: Distinct words that a worker's memo holds before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,22 @@ class Memo(dict):
         return False
 
 
+#: What a Python worker keeps from task to task: for each use, the latest token and the object made for it.
+_KEPT: dict[str, tuple[str, object]] = {}
+
+
+def per_worker(use: str, token: str, make: Callable[[], object]) -> object:
+    """The object made for a query's token; a worker that runs the query's next task has it still, with what it remembers."""
+    known = _KEPT.get(use)
+    if known is None or known[0] != token:
+        _KEPT[use] = known = (token, make())
+    return known[1]
+
+
+def token() -> str:
+    return uuid.uuid4().hex
+
+
 def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow with state per task: start() gives the function that turns a batch into columns."""
 

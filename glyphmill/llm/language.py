@@ -173,8 +173,10 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """key, lang_pred, score, n_spans and, if asked for, spans (of words: first, after the last, lang)."""
     known = df.sparkSession.sparkContext.broadcast(model)  # CELLS rows, whatever the corpus
 
+    token = common.token()
+
     def start():
-        labeller = Labeller(known.value)
+        labeller = common.per_worker("language", token, lambda: Labeller(known.value))
 
         def each(batch):
             found = [labeller.label(t) for t in batch.column(1).to_pylist()]

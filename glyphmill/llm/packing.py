@@ -119,10 +119,11 @@ def pack(df: DataFrame, file: bytes, key: str = "doc_id", text: str = "text", ti
     spark = df.sparkSession
     known = spark.sparkContext.broadcast(file)  # the tokenizer file, a few MB
     field = df.schema[key].dataType
+    token = common.token()
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, base = Tokens(known.value), Packer(tiers), TaskContext.get().partitionId() << 33
+        tokens, packer, base = common.per_worker("packing", token, lambda: Tokens(known.value)), Packer(tiers), TaskContext.get().partitionId() << 33
         made: dict[int, int] = {}
         count = 0
         kind = pa.int64()

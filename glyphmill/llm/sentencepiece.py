@@ -14,11 +14,12 @@ Nulls stay null, an empty text has no ids. Ties of unigram scores go to the long
 from __future__ import annotations
 
 import codecs
+import math
 import re
 import struct
 import zlib
 from dataclasses import dataclass, field
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
+_NONE: dict = {}
 #: Pairs of pieces of which a worker remembers whether one may follow the other.
-PAIRS = 500_000
+PAIRS = 1_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -117,11 +119,16 @@ class Codec:
         self.bytes = {int(v.pieces[i][3:5], 16): i for i, k in enumerate(v.kinds) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
         self.unknown_score = min((v.scores[i] for i in usable), default=0.0) - UNKNOWN_PENALTY
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+        self.whole: dict[str, bool] = {}
+        self.edges: dict[str, tuple[list, list] | None] = {}
         #: No piece goes on over these places, so all paths meet there.
         self.cuts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cuts_at_line = not any("\n" in p for p in self.ids)
-        self.words, self.starts = common.Memo(lambda w: self._ids(SPACE + w)), common.Memo(self._ids)
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.words, self.starts = common.Memo(lambda w: self._parts(SPACE + w)), common.Memo(self._parts)
+        self.parts = common.Memo(self._ids)
         self.surface = [self._surface(i) for i in range(len(v.pieces))]
 
     def _surface(self, i: int) -> bytes:
@@ -132,43 +139,83 @@ class Codec:
             return b""
         return " ⁇ ".encode() if kind == UNKNOWN else self.v.pieces[i].replace(SPACE, " ").encode()
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best pair again and again: the definition of BPE that follows() rests on."""
-        parts, alive = list(text), [True] * len(text)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[float, int, str]] = []
+    def merged(self, text: str, edges: tuple[list, list] | None = None) -> list[str]:
+        """Pieces of a short text by merging the best pair again and again: the definition of BPE that follows() rests on.
 
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(parts) and (whole := parts[i] + parts[j]) in self.score:
-                heappush(heap, (-self.score[whole], i, whole))
-
-        for i in range(len(parts)):
-            offer(i)
+        edges: gets what stands at the first and at the last place over time, each with the score of the merge that ends it.
+        """
+        parts, alive, score = list(text), [True] * len(text), self.score
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-score[w], i, w) for i in range(n - 1) if (w := text[i : i + 2]) in score]
+        heapify(heap)
         while heap:
             _, i, whole = heappop(heap)
-            if not alive[i] or (j := after[i]) >= len(parts) or parts[i] + parts[j] != whole:
+            if not alive[i] or (j := after[i]) >= n or parts[i] + parts[j] != whole:
                 continue
+            if edges:
+                if i == 0:
+                    edges[0].append((parts[0], score[whole]))
+                if after[j] == n:
+                    edges[1].append((parts[j], score[whole]))
             parts[i], alive[j], after[i] = whole, False, after[j]
-            if after[j] < len(parts):
+            if after[j] < n:
                 before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
+                if (w := whole + parts[after[j]]) in score:
+                    heappush(heap, (-score[w], i, w))
+            if (h := before[i]) >= 0 and (w := parts[h] + whole) in score:
+                heappush(heap, (-score[w], h, w))
         return [p for p, a in zip(parts, alive) if a]
 
+    def _edges(self, piece: str) -> tuple[list, list] | None:
+        """What stands at a piece's first and last place while it is merged; None if its merges don't come in the order of their scores."""
+        found = self.edges.get(piece, _NONE)
+        if found is _NONE:
+            first, last = [], []
+            found = None
+            if self.merged(piece, (first, last)) == [piece] and all(x == sorted(x, key=lambda e: -e[1]) for x in (first, last)):
+                found = ([*first, (piece, -math.inf)], [*last, (piece, -math.inf)])
+            self.edges[piece] = found
+        return found
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Would merging the two leave them as they are?"""
+        a, b = self._edges(left), self._edges(right)
+        if a is None or b is None:
+            return self.merged(left + right) == [left, right]
+        lasts, firsts, i, j, score = a[1], b[0], 0, 0, self.score
+        while True:
+            (x, ends_x), (y, ends_y) = lasts[i], firsts[j]
+            both = score.get(x + y)
+            # a merge over the border comes first; of equal scores the one further left does
+            if both is not None and both > ends_x and both >= ends_y:
+                return False
+            if ends_x == ends_y == -math.inf:
+                return True
+            if ends_x >= ends_y:
+                i += 1
+            else:
+                j += 1
+
     def _may_follow(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        known = self.follows.get(pair)
+        known = self.follows.get(left)
         if known is None:
-            if len(self.follows) > PAIRS:
+            known = self.follows[left] = {}
+        may = known.get(right)
+        if may is None:
+            self.pairs += 1
+            if self.pairs > PAIRS:
                 self.follows.clear()
-            known = self.follows[pair] = self.merged(left + right) == [left, right]
-        return known
+                self.pairs = 0
+            may = known[right] = self._apart(left, right)
+        return may
 
     def pieces(self, text: str):
         """The pieces of a prepared text, each as soon as it is certain."""
         bpe, longest, vocabulary = self.v.model == BPE, self.longest, self.score
+        if bpe and len(text) <= 2 * longest:  # the window holds all of it
+            yield from self._short(text)
+            return
         # what is known of the boundaries from base on: start and text of the piece that ends there, score of the path
         base, came, last, best = 0, {0: 0}, {0: ""}, {0: 0.0}
         for end in range(1, len(text) + 1):
@@ -184,7 +231,7 @@ class Codec:
                 else:
                     continue
                 if bpe:
-                    if not last[start] or self._may_follow(last[start], piece):
+                    if self._may_follow(last[start], piece) if last[start] else len(piece) == 1 or self._whole(piece):
                         found, whence = piece, start
                         break
                 elif found is None or best[start] + gain > top:
@@ -209,6 +256,32 @@ class Codec:
                     best = {b: s for b, s in best.items() if b >= base}
         yield from self._path(came, last, base, len(text))
 
+    def _short(self, text: str) -> list[str]:
+        """The same search over a text within the window; each boundary of a BPE model is reached by one path."""
+        vocabulary, longest, follows, n = self.ids, self.longest, self.follows, len(text)
+        last, came, known = [""] * (n + 1), [0] * (n + 1), [_NONE] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                piece = text[start:end]
+                if piece in vocabulary or start == end - 1:
+                    if start:
+                        may = known[start].get(piece)
+                        if not (self._may_follow(last[start], piece) if may is None else may):
+                            continue
+                    elif end > 1 and not self._whole(piece):
+                        continue
+                    last[end], came[end] = piece, start
+                    known[end] = follows.get(piece, _NONE)
+                    break
+        return self._path(came, last, 0, n)
+
+    def _whole(self, piece: str) -> bool:
+        """Does merging a piece's own characters give the piece?"""
+        known = self.whole.get(piece)
+        if known is None:
+            known = self.whole[piece] = self.merged(piece) == [piece]
+        return known
+
     @staticmethod
     def _path(came: dict, last: dict, base: int, end: int) -> list[str]:
         out = []
@@ -217,6 +290,14 @@ class Codec:
             end = came[end]
         return out[::-1]
 
+    def _parts(self, text: str) -> bytes:
+        """Ids of a text that is first cut between characters that no piece has side by side: all paths meet there."""
+        inside = self.inside
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
+        if not cuts:
+            return self._ids(text)
+        return b"".join([self.parts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+
     def _ids(self, text: str) -> bytes:
         out: list[int] = []
         fresh_unknown = True
@@ -242,7 +323,7 @@ class Codec:
         """Ids as little-endian 32-bit numbers."""
         if not text:
             return b""
-        self.words.fresh(), self.starts.fresh()
+        self.words.fresh(), self.starts.fresh(), self.parts.fresh()
         plain = self.cuts_at_space and self.v.dummy_prefix and not self.v.squeeze and self.v.byte_fallback
         if plain and "  " not in text and text[0] != " " and SPACE not in text and (self.cuts_at_line or "\n" not in text) and "\n " not in text:
             lines = text.split("\n")
@@ -274,8 +355,10 @@ def load(path: str) -> Vocabulary:
 
 
 def _start(vocabulary, work):
+    token = common.token()
+
     def start():
-        codec = Codec(vocabulary.value)
+        codec = common.per_worker("sentencepiece", token, lambda: Codec(vocabulary.value))
         return lambda batch: work(codec, batch)
 
     return start
