@@ -14,7 +14,9 @@ Null and empty texts have the end id only. Repeated rows are packed each for its
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -35,10 +37,16 @@ STEP_TOKENS = 64 * 2048
 Piece = tuple[int, int, bytes, int, object, int]
 
 
+#: A word that the pre-tokenizer leaves whole, with marks that it takes for themselves.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
 class Tokens:
     """Ids by the tokenizer file; a word's ids are looked up once.
 
-    The file's pre-tokenizer never joins what white space divides, so that words can be encoded apart.
+    The file's pre-tokenizer never joins what white space divides, so that words can be encoded apart. It lowers letters
+    and parts words from marks too, so that a word of Latin letters needs one look-up for all its forms; many of these
+    are encoded as one text, in which the ids that end a word show where each begins.
     """
 
     def __init__(self, file: bytes, end: int = END):
@@ -47,22 +55,58 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_buffer(file)
         self.end = np.array([end], "<u4").tobytes()
+        suffix = json.loads(file)["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for word, i in vocabulary.items():
+            self.last[i] = bool(suffix) and word.endswith(suffix)
         self.memo: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
+    def _apart(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return zip(words, (self._bytes(e.ids) for e in encoded))
+
+    def _plain(self, words: list[str]) -> None:
+        """Ids of lower-case words of Latin letters, and of marks."""
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.plain.update(zip(part, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
+            else:
+                self.plain.update(self._apart(part))
+
+    def _learn(self, words: list[str]) -> None:
+        known, odd, whole = {}, [], self.plain
+        for word in words:
+            m = _WORD.fullmatch(word)
+            if m:
+                known[word] = (m[1].lower(), m[2])
+            else:
+                odd.append(word)
+        self._plain(list({p for pair in known.values() for p in pair if p} - whole.keys()))
+        memo = self.memo
+        for word, (letters, marks) in known.items():
+            memo[word] = whole[letters] + whole[marks] if marks else whole[letters]
+        for at in range(0, len(odd), 2048):
+            memo.update(self._apart(odd[at : at + 2048]))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > common.MEMO_WORDS:
             self.memo.clear()
+        if len(self.plain) > common.MEMO_WORDS:
+            self.plain.clear()
         # str.split() also divides at four control characters that the tokenizer keeps
         whole = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [(t or "").split() if i not in whole else None for i, t in enumerate(texts)]
-        new = list(set().union(*(w for w in split if w)) - self.memo.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.memo.update(zip(part, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        self._learn(list(set().union(*(w for w in split if w)) - self.memo.keys()))
         get = self.memo.__getitem__
         return [(b"".join(map(get, words)) if words is not None else self._bytes(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)) + self.end for i, words in enumerate(split)]
 
