@@ -1,0 +1 @@
+"""Text tokenization as DataFrame operations: a declarative pipeline over columns of text."""
