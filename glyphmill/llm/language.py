@@ -101,14 +101,15 @@ class Labeller:
         self.m = model
         n = len(model.languages)
         self.rows, self.lengths = np.zeros((1024, n)), np.zeros(1024, np.int64)
-        self.memo = common.Memo(self._row)
+        # forms with other marks share the row of their letters
+        self.forms = common.Memo(self._row)
+        self.memo = common.Memo(lambda word: self.forms[_letters(word)])
 
-    def _row(self, word: str) -> int:
-        i = len(self.memo)
+    def _row(self, letters: str) -> int:
+        i = len(self.forms)
         if i >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        letters = _letters(word.lower())
         self.lengths[i], self.rows[i] = len(letters), 0
         candidates = self.m.scripts.get(script(letters[0])) if letters else None
         if candidates is not None:
@@ -145,8 +146,9 @@ class Labeller:
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Label, score and spans (first word, word after the last, label); spans hold words with letters only."""
-        self.memo.fresh()
-        words = np.fromiter(map(self.memo.__getitem__, text.split()), np.int64) if text else np.zeros(0, np.int64)
+        if self.memo.fresh():
+            self.forms.clear()
+        words = np.fromiter(map(self.memo.__getitem__, text.lower().split()), np.int64) if text else np.zeros(0, np.int64)
         lengths = self.lengths[words]
         at = np.flatnonzero(lengths)
         if not len(at) or not self.m.languages:
