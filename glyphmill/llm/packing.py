@@ -67,6 +67,17 @@ class Tokens:
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """The text's words, in lower case where that is what the tokenizer does: in Latin-1, each letter for itself."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split()
+        # case counts in the names of added tokens
+        return text.split() if "<|" in text else text.lower().split()
+
     def _apart(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return zip(words, (self._bytes(e.ids) for e in encoded))
@@ -105,7 +116,7 @@ class Tokens:
             self.plain.clear()
         # str.split() also divides at four control characters that the tokenizer keeps
         whole = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [(t or "").split() if i not in whole else None for i, t in enumerate(texts)]
+        split = [self._words(t or "") if i not in whole else None for i, t in enumerate(texts)]
         self._learn(list(set().union(*(w for w in split if w)) - self.memo.keys()))
         get = self.memo.__getitem__
         return [(b"".join(map(get, words)) if words is not None else self._bytes(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)) + self.end for i, words in enumerate(split)]
