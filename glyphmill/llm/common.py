@@ -62,7 +62,7 @@ class Memo(dict):
         return False
 
 
-#: What a Python worker keeps from task to task: for each use, the latest token and the object made for it.
+#: What a Python worker keeps from task to task: the latest use with its token and the object made for it.
 _KEPT: dict[str, tuple[str, object]] = {}
 
 
@@ -70,6 +70,7 @@ def per_worker(use: str, token: str, make: Callable[[], object]) -> object:
     """The object made for a query's token; a worker that runs the query's next task has it still, with what it remembers."""
     known = _KEPT.get(use)
     if known is None or known[0] != token:
+        _KEPT.clear()  # one at a time: another query's memory goes
         _KEPT[use] = known = (token, make())
     return known[1]
 

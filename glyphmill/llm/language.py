@@ -28,6 +28,8 @@ from . import common
 PER_LANGUAGE = 600
 #: Cells of the table of n-gram counts, for each language.
 CELLS = 1 << 18
+#: Words that a worker remembers.
+WORDS = 700_000
 #: What a change of language costs, in units of log likelihood; a word counts LEAST at most against a language.
 SWITCH, LEAST = 14.0, 6.0
 #: A language writes in the scripts that hold at least this share of its letters.
@@ -102,8 +104,8 @@ class Labeller:
         n = len(model.languages)
         self.rows, self.lengths = np.zeros((1024, n)), np.zeros(1024, np.int64)
         # forms with other marks share the row of their letters
-        self.forms = common.Memo(self._row)
-        self.memo = common.Memo(lambda word: self.forms[_letters(word)])
+        self.forms = common.Memo(self._row, WORDS)
+        self.memo = common.Memo(lambda word: self.forms[_letters(word)], WORDS)
 
     def _row(self, letters: str) -> int:
         i = len(self.forms)
@@ -195,6 +197,19 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return common.arrow_map(df.select(df[key].alias("key"), df[text].alias("text")), schema, start).withColumnRenamed("key", key)
 
 
+def keep(df: DataFrame, model: Model, least_share: float, text: str = "text") -> DataFrame:
+    """The rows of df whose text has a language with at least this share of its letters, in the same pass, so that no text travels."""
+    known, token, at = df.sparkSession.sparkContext.broadcast(model), common.token(), df.columns.index(text)
+
+    def run(batches):
+        labeller = common.per_worker("language", token, lambda: Labeller(known.value))
+        for batch in batches:
+            found = (labeller.label(t) for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_share for lang, score, _ in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def learnable(key: str = "doc_id"):
     """The documents of the query's contract to learn from."""
     return common.fold(key, 4) != 2
