@@ -114,7 +114,7 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable, for the nodes of edges (a, b), a < b."""
+    """node, root: the smallest node reachable, for the nodes of edges (a, b), a < b, that aren't roots themselves."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
