@@ -75,6 +75,11 @@ def per_worker(use: str, token: str, make: Callable[[], object]) -> object:
     return known[1]
 
 
+def release() -> None:
+    """For tasks that keep nothing: what an earlier query left in the worker goes."""
+    _KEPT.clear()
+
+
 def token() -> str:
     return uuid.uuid4().hex
 

@@ -99,13 +99,13 @@ def learn(texts: list[tuple[str, str]]) -> Model:
 
 
 class Labeller:
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, words: int = WORDS):
         self.m = model
         n = len(model.languages)
         self.rows, self.lengths = np.zeros((1024, n)), np.zeros(1024, np.int64)
         # forms with other marks share the row of their letters
-        self.forms = common.Memo(self._row, WORDS)
-        self.memo = common.Memo(lambda word: self.forms[_letters(word)], WORDS)
+        self.forms = common.Memo(self._row, words)
+        self.memo = common.Memo(lambda word: self.forms[_letters(word)], words)
 
     def _row(self, letters: str) -> int:
         i = len(self.forms)
@@ -197,12 +197,12 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return common.arrow_map(df.select(df[key].alias("key"), df[text].alias("text")), schema, start).withColumnRenamed("key", key)
 
 
-def keep(df: DataFrame, model: Model, least_share: float, text: str = "text") -> DataFrame:
+def keep(df: DataFrame, model: Model, least_share: float, text: str = "text", words: int = WORDS) -> DataFrame:
     """The rows of df whose text has a language with at least this share of its letters, in the same pass, so that no text travels."""
     known, token, at = df.sparkSession.sparkContext.broadcast(model), common.token(), df.columns.index(text)
 
     def run(batches):
-        labeller = common.per_worker("language", token, lambda: Labeller(known.value))
+        labeller = common.per_worker("language", token, lambda: Labeller(known.value, words))
         for batch in batches:
             found = (labeller.label(t) for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_share for lang, score, _ in found], pa.bool_()))

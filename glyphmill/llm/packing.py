@@ -49,11 +49,12 @@ class Tokens:
     are encoded as one text, in which the ids that end a word show where each begins.
     """
 
-    def __init__(self, file: bytes, end: int = END):
+    def __init__(self, file: bytes, end: int = END, limit: int = common.MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(file)
+        self.limit = limit
         self.end = np.array([end], "<u4").tobytes()
         suffix = json.loads(file)["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
@@ -110,9 +111,9 @@ class Tokens:
             memo.update(self._apart(odd[at : at + 2048]))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > common.MEMO_WORDS:
+        if len(self.memo) > self.limit:
             self.memo.clear()
-        if len(self.plain) > common.MEMO_WORDS:
+        if len(self.plain) > self.limit:
             self.plain.clear()
         # str.split() also divides at four control characters that the tokenizer keeps
         whole = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
@@ -169,7 +170,7 @@ class Packer:
             yield size, parts
 
 
-def pack(df: DataFrame, file: bytes, key: str = "doc_id", text: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(df: DataFrame, file: bytes, key: str = "doc_id", text: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, words: int = common.MEMO_WORDS) -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
     spark = df.sparkSession
     known = spark.sparkContext.broadcast(file)  # the tokenizer file, a few MB
@@ -178,7 +179,7 @@ def pack(df: DataFrame, file: bytes, key: str = "doc_id", text: str = "text", ti
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, base = common.per_worker("packing", token, lambda: Tokens(known.value)), Packer(tiers), TaskContext.get().partitionId() << 33
+        tokens, packer, base = common.per_worker("packing", token, lambda: Tokens(known.value, limit=words)), Packer(tiers), TaskContext.get().partitionId() << 33
         made: dict[int, int] = {}
         count = 0
         kind = pa.int64()

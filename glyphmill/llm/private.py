@@ -230,6 +230,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY, counts: bo
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, T.IntegerType()) for name in names)])
 
     def start():
+        common.release()
         pseudonyms = Pseudonyms(key)
 
         def each(batch):

@@ -58,6 +58,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, fp (the fingerprint's bits as a signed long)."""
 
     def start():
+        common.release()
+
         def each(batch):
             fp = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             return {"key": batch.column(0), "fp": pa.array(fp.view(np.int64))}
