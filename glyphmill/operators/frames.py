@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -120,7 +121,6 @@ class TextPipeline:
                 cache.append(Tokenizer(spec))
             return cache[0]
 
-        import pandas as pd
 
         @F.pandas_udf("array<int>")
         def encode_ids(s: pd.Series) -> pd.Series:
