@@ -109,6 +109,11 @@ def bert_ids(a: Column, b: Column | None, cls: int, sep: int) -> Column:
     return F.concat(*parts)
 
 
+def roberta_ids(a: Column, b: Column | None, cls: int, sep: int) -> Column:
+    one, two = F.array(F.lit(cls)), F.array(F.lit(sep))
+    return F.concat(one, a, two) if b is None else F.concat(one, a, two, two, b, two)
+
+
 def truncate(a: Column, n: int, left: bool = False) -> Column:
     return F.when(F.size(a) <= n, a).otherwise(F.slice(a, -n if left else 1, n))
 

@@ -92,6 +92,8 @@ def _ids(name: str, make: Callable[[Column], Column], sql: str) -> None:
 _repeat = lambda n: f"list_transform(range(greatest(0, {n})), lambda x: 0)"
 _ids("post_bert", lambda a: expr.bert_ids(a, None, 101, 102), "list_concat(list_concat([101], a), [102])")
 _ids("post_bert_pair", lambda a: expr.bert_ids(a, expr.truncate(a, 5), 101, 102), "list_concat(list_concat(list_concat(list_concat([101], a), [102]), a[1:5]), [102])")
+_ids("post_roberta", lambda a: expr.roberta_ids(a, None, 0, 2), "list_concat(list_concat([0], a), [2])")
+_ids("post_roberta_pair", lambda a: expr.roberta_ids(a, expr.truncate(a, 5), 0, 2), "list_concat(list_concat(list_concat(list_concat([0], a), [2, 2]), a[1:5]), [2])")
 _ids("truncate_right", lambda a: expr.truncate(a, 64), "a[1:64]")
 _ids("truncate_left", lambda a: expr.truncate(a, 64, True), "a[greatest(1, len(a) - 63):]")
 _ids("pad_right", lambda a: expr.pad(a, 128), f"list_concat(a, {_repeat('128 - len(a)')})")
@@ -186,6 +188,59 @@ SQL["bpe_roundtrip"] = "SELECT doc_id, md5(text) AS digest, strlen(text) > 0 AS
 SQL["pretok_gpt2"] = "SELECT doc_id, strlen(text)::INT AS n_bytes FROM documents"
 SQL["offsets_running"] = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: x <> ''))::INT AS n, strlen(regexp_replace(text, '[ \t\n\r]+$', ''))::INT AS last_end FROM documents"
 
+# models on the distinct words of the corpus, whose pieces an alternation of regular expressions finds too
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_STEMS = ["tion", "ing", "the", "er", "in", "th"]
+WORDPIECE_SPEC = Spec.of({"model": {"type": "WordPiece", "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 100, "vocab": {t: i for i, t in enumerate(["[UNK]", *_STEMS, *_LETTERS, *("##" + x for x in [*_STEMS, *_LETTERS])])}}})
+# merges that share no letter, so that their order is of no effect
+LETTERS_SPEC = Spec.of({"model": {"type": "BPE", "vocab": {t: i for i, t in enumerate([*_LETTERS, "th", "an", "er"])}, "merges": ["t h", "a n", "e r"]}})
+
+
+def _words(name: str, spec: Spec, sql: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = _docs(spark, sf_dir).select(F.explode(expr.pieces(F.lower("text"), "[a-z]+")).alias("word")).distinct()
+        found = TextPipeline(spec).encode(words, "word", "e", add_special=False)
+        return found.select("word", F.size("e.tokens").alias("n"), F.array_join("e.tokens", " ").alias("pieces"))
+
+    QUERIES[name] = query
+    SQL[name] = f"SELECT word, len(p)::INT AS n, array_to_string(p, ' ') AS pieces FROM (SELECT word, {sql} AS p FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents))"
+
+
+_words("wordpiece_tokens", WORDPIECE_SPEC, f"CASE WHEN len(word) > 100 THEN ['[UNK]'] ELSE list_transform(regexp_extract_all(word, '{'|'.join(_STEMS)}|[a-z]'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END) END")
+_words("bpe_tokens", LETTERS_SPEC, "regexp_extract_all(word, 'th|an|er|[a-z]')")
+
+# pairs and templates by kernels
+_PLAIN = {"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+_COUNT = r"len(list_filter(regexp_split_to_array({}, '[ \t\n\r]'), lambda x: x <> ''))"
+
+
+def pair_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, tokens of the second sequence and special ones of the pair of text and language."""
+    spec = Spec.of(_PLAIN | {"post_processor": {"type": "BertProcessing", "cls": ["[CLS]", 1], "sep": ["[SEP]", 2]}})
+    found = TextPipeline(spec).encode(_docs(spark, sf_dir), "text", "e", pair="lang")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return found.select("doc_id", F.size("e.ids").alias("n"), total("e.type_ids").alias("n_second"), total("e.special_tokens_mask").alias("n_special"))
+
+
+def post_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    template = {"type": "TemplateProcessing", "single": "[CLS] $A:3 [SEP]:5", "special_tokens": {t: {"id": t, "ids": [i], "tokens": [t]} for i, t in ((7, "[CLS]"), (8, "[SEP]"))}}
+    found = TextPipeline(Spec.of(_PLAIN | {"post_processor": template})).encode(_docs(spark, sf_dir), "text", "e")
+    return found.select("doc_id", F.size("e.ids").alias("n"), F.element_at("e.ids", 1).alias("first"), F.element_at("e.ids", -1).alias("last"), F.aggregate("e.type_ids", F.lit(0), lambda a, x: a + x).alias("type_sum"))
+
+
+def decode_bytefallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as byte tokens, and back."""
+    spec = Spec.of({"model": {"type": "WordLevel", "vocab": {f"<0x{b:02X}>": b for b in range(256)} | {"[UNK]": 256}}, "decoder": {"type": "ByteFallback"}})
+    digits = expr.pieces(F.hex(F.encode("text", "UTF-8")), "..")
+    ids = _docs(spark, sf_dir).select("doc_id", F.transform(digits, lambda h: F.conv(h, 16, 10).cast("int")).alias("ids"))
+    return TextPipeline(spec).decode(ids).select("doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+QUERIES |= {f.__name__: f for f in (pair_encode, post_template, decode_bytefallback)}
+SQL["pair_encode"] = f"SELECT doc_id, ({_COUNT.format('text')} + {_COUNT.format('lang')} + 3)::INT AS n, ({_COUNT.format('lang')} + 1)::INT AS n_second, 3 AS n_special FROM documents"
+SQL["post_template"] = f"SELECT doc_id, ({_COUNT.format('text')} + 2)::INT AS n, 7 AS first, 8 AS last, (3 * {_COUNT.format('text')} + 5)::INT AS type_sum FROM documents"
+SQL["decode_bytefallback"] = "SELECT doc_id, strlen(text)::INT AS n_bytes, md5(text) AS digest FROM documents"
+
 # chat templates
 TEMPLATES = {
     "chat_chatml": ("{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' + m.content + '<|im_end|>\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}", "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)", "'<|im_start|>assistant' || chr(10)"),
@@ -205,3 +260,17 @@ for _name, (_template, _each, _end) in TEMPLATES.items():
     if _each:
         SQL[_name] = f"SELECT conv_id, strlen(p)::INT AS n_bytes, md5(p) AS digest FROM (SELECT conv_id, string_agg({_each}, '' ORDER BY turn) || {_end} AS p FROM conversations GROUP BY conv_id)"
 SQL["chat_turns"] = "SELECT conv_id, strlen(p)::INT AS n_bytes, md5(p) AS digest FROM (SELECT conv_id, string_agg(r || '/' || n || ' ' || upper(role) || ': ' || trim(text, chr(10) || chr(9) || ' '), ' ~ ' ORDER BY turn) AS p FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id)"
+
+
+def encode_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each conversation's prompt, and those of them that are added tokens."""
+    spec = Spec.of(_PLAIN | {"added_tokens": [{"content": t, "special": True} for t in ("<|im_start|>", "<|im_end|>")]})
+    prompts = chat.apply_chat(_conversations(spark, sf_dir), TEMPLATES["chat_chatml"][0])
+    ids = TextPipeline(spec).ids(prompts, "prompt")
+    return ids.select("conv_id", F.size("ids").alias("n_tokens"), F.size(F.filter("ids", lambda i: i > 0)).alias("n_added"))
+
+
+QUERIES["encode_chat"] = encode_chat
+SQL["encode_chat"] = f"""SELECT conv_id, ({_COUNT.format("replace(replace(p, '<|im_start|>', ' '), '<|im_end|>', ' ')")} + k)::INT AS n_tokens, k::INT AS n_added FROM (
+SELECT conv_id, p, len(string_split(p, '<|im_start|>')) + len(string_split(p, '<|im_end|>')) - 2 AS k FROM (
+SELECT conv_id, string_agg({TEMPLATES["chat_chatml"][1]}, '' ORDER BY turn) || {TEMPLATES["chat_chatml"][2]} AS p FROM conversations GROUP BY conv_id))"""
