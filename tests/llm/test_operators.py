@@ -9,9 +9,9 @@ import public_tokenizers
 import pytest
 import sentencepiece as library
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from glyphmill.llm import classify, language, neighbours, packing, private, quality, sentencepiece, simhash, wrappers
+from glyphmill.llm import classify, common, language, neighbours, packing, private, quality, sentencepiece, simhash, wrappers
 
 RNG = random.Random(7)
 WORDS = [" ".join(RNG.choice("the of and in to river stone bright morning walked slowly under old bridge".split()) for _ in range(n)) for n in (3, 60, 400)]
@@ -24,6 +24,23 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, key string, score double").repartition(3)
 
 
+def test_stratified(spark):
+    rows = [(i, "hot" if i % 5 else "rare") for i in range(2000)] + [(3, "hot"), (None, "hot"), (9999, None)]
+    df = spark.createDataFrame(rows, "key long, kind string").repartition(7)
+    for bound in (1, 10, 500):
+        got = sorted(common.stratified(df, "key", "kind", bound).collect(), key=str)
+        digest = {(r["key"], r["kind"]): r["h"] for r in df.withColumn("h", F.xxhash64("key")).collect()}
+        expected = []
+        for kind in ("hot", "rare", None):
+            own = sorted((r for r in rows if r[1] == kind), key=lambda r: (digest[r], r[0] is not None, r[0] or 0))
+            expected += own[:bound]
+        assert [tuple(r) for r in got] == sorted(expected, key=lambda r: str(spark_row(*r)))
+
+
+def spark_row(key, kind):
+    return Row(key=key, kind=kind)
+
+
 def test_sentencepiece(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     vocabulary, known = sentencepiece.load(path), library.SentencePieceProcessor(model_file=path)
