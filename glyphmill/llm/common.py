@@ -16,8 +16,8 @@ BATCH_ROWS = 1000
 #: Distinct words that a worker's memo holds before it starts anew.
 MEMO_WORDS = 1_000_000
 
-#: Parts of a stratum that are ranked apart.
-SPREAD = 64
+#: Parts of a stratum that are ranked apart, and of the rest of these.
+SPREAD = (512, 8, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,12 @@ def fold(key: Column | str, modulus: int) -> Column:
 def stratified(rows: DataFrame, key: str, stratum: str, bound: int) -> DataFrame:
     """At most bound rows of each stratum, those with the smallest hash of the key.
 
-    Ranked within SPREAD parts of each stratum first, so that no task gets more than SPREAD * bound rows of a hot one,
-    however many tasks read it.
+    Ranked within ever fewer parts of each stratum, so that beyond the first step no task gets more than 64 * bound rows
+    of a hot one, however many tasks read it.
     """
     digest = F.xxhash64(key)
-    for parts in ([stratum, F.pmod(digest, F.lit(SPREAD))], [stratum]):
-        order = Window.partitionBy(*parts).orderBy(digest, key)
+    for parts in SPREAD:
+        order = Window.partitionBy(stratum, F.pmod(digest, F.lit(parts))).orderBy(digest, key)
         rows = rows.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= bound).drop("__rank")
     return rows
 
