@@ -2,9 +2,11 @@
 
 A word's script (by ranges of code points) leaves only the languages that write in it as candidates. Each word then gets
 a score for every candidate, from hashed counts of its character n-grams. A Viterbi search over the words, with a penalty
-for switching, labels spans; the label with the most letters is the document's, and its share of them the score.
+for switching, labels spans; the label with the most letters is the document's. Words in scripts that no language writes in
+are `und` and count as letters like any other. The score is the label's share of all letters times how well its words fit
+the language: their log likelihood by n-gram, on a scale from that of n-grams at random to that of the texts learned from.
 
-Words are runs of characters between white space. Null texts and texts without letters are `und` with score 0. Ties go to
+Words are runs of characters between white space. Null texts and texts mostly of `und` letters are `und` with score 0. Ties go to
 the language that sorts first. Repeated rows are labelled each for itself.
 
 The model learns from at most PER_LANGUAGE whole documents of each language. It holds the n-gram counts in a table of
@@ -30,8 +32,11 @@ PER_LANGUAGE = 600
 CELLS = 1 << 18
 #: Words that a worker remembers.
 WORDS = 700_000
-#: What a change of language costs, in units of log likelihood; a word counts LEAST at most against a language.
-SWITCH, LEAST = 14.0, 6.0
+#: What a change of language costs, in units of log likelihood; a word of up to LETTERS letters counts LEAST at most against
+#: a language, a longer one more in proportion.
+SWITCH, LEAST, LETTERS = 14.0, 6.0, 12
+#: Where on the scale from random n-grams (0) to the texts learned from (1) a fit is 0, and where it is 1.
+POOR, GOOD = 0.5, 0.9
 #: A language writes in the scripts that hold at least this share of its letters.
 SCRIPT_SHARE = 0.005
 UNDETERMINED = "und"
@@ -69,6 +74,9 @@ class Model:
     #: log probability of each n-gram cell, by language
     table: np.ndarray
     scripts: dict[str, np.ndarray]
+    #: mean log probability of the n-grams learned from, and of cells at random, by language
+    typical: np.ndarray
+    random: np.ndarray
 
 
 def learn(texts: list[tuple[str, str]]) -> Model:
@@ -76,26 +84,31 @@ def learn(texts: list[tuple[str, str]]) -> Model:
     languages = sorted({lang for lang, _ in texts})
     counts = np.zeros((len(languages), CELLS), np.float64)
     used: dict[str, np.ndarray] = {}
+    seen = []
     for k, lang in enumerate(languages):
         words = Counter()
         for own, text in texts:
             if own == lang:
                 words.update(text.lower().split())
         kinds: Counter = Counter()
-        cells, weight = [], []
+        cells, weight, times = [], [], []
         for word, n in words.items():
             if letters := _letters(word):
                 found = _grams(letters)
                 cells += found
                 weight += [min(n, 50)] * len(found)  # a passage found in many documents isn't the language
+                times += [n] * len(found)
                 kinds[script(letters[0])] += n * len(letters)
+        seen.append((np.array(cells, np.int64), np.array(times, np.float64)))
         np.add.at(counts[k], np.array(cells, np.int64), np.array(weight, np.float64))
         total = sum(kinds.values())
         for name, n in kinds.items():
             if n >= SCRIPT_SHARE * total:
                 used.setdefault(name, np.zeros(len(languages), bool))[k] = True
     rate = (counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * CELLS)
-    return Model(languages, np.log(rate).astype(np.float32).T.copy(), used)
+    table = np.log(rate).astype(np.float32).T.copy()
+    typical = np.array([table[cells, k] @ times / max(1.0, times.sum()) for k, (cells, times) in enumerate(seen)])
+    return Model(languages, table, used, typical, table.mean(axis=0, dtype=np.float64))
 
 
 class Labeller:
@@ -103,6 +116,8 @@ class Labeller:
         self.m = model
         n = len(model.languages)
         self.rows, self.lengths = np.zeros((1024, n)), np.zeros(1024, np.int64)
+        # sums of log probabilities and numbers of n-grams; no n-grams: no language writes in the script
+        self.sums, self.grams = np.zeros((1024, n), np.float32), np.zeros(1024, np.int32)
         # forms with other marks share the row of their letters
         self.forms = common.Memo(self._row, words)
         self.memo = common.Memo(lambda word: self.forms[_letters(word)], words)
@@ -112,12 +127,16 @@ class Labeller:
         if i >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.lengths[i], self.rows[i] = len(letters), 0
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
+        self.lengths[i], self.rows[i], self.sums[i], self.grams[i] = len(letters), 0, 0, 0
         candidates = self.m.scripts.get(script(letters[0])) if letters else None
         if candidates is not None:
-            cells = self.m.table[_grams(letters)].sum(axis=0, dtype=np.float64)
-            best = cells[candidates].max()
-            self.rows[i] = np.where(candidates, np.maximum((cells - best) / 2, -LEAST), -LEAST)
+            found = _grams(letters)
+            cells = self.m.table[found].sum(axis=0, dtype=np.float64)
+            best, least = cells[candidates].max(), -LEAST * max(1.0, len(letters) / LETTERS)
+            self.rows[i] = np.where(candidates, np.maximum((cells - best) / 2, least), least)
+            self.sums[i], self.grams[i] = cells, len(found)
         return i
 
     def path(self, scores: np.ndarray) -> np.ndarray:
@@ -155,13 +174,26 @@ class Labeller:
         at = np.flatnonzero(lengths)
         if not len(at) or not self.m.languages:
             return UNDETERMINED, 0.0, []
-        path = self.path(self.rows[words[at]])
-        share = np.bincount(path, lengths[at], len(self.m.languages))
-        top = int(share.argmax())
+        own = words[at]
+        known = self.grams[own] > 0
+        path = np.full(len(own), -1)
+        path[known] = self.path(self.rows[own[known]])
+        share = np.bincount(path + 1, self.lengths[own], len(self.m.languages) + 1)
+        names = [*self.m.languages, UNDETERMINED]
         cut = np.flatnonzero(np.diff(path)) + 1
         bounds = [0, *cut.tolist(), len(path)]
-        spans = [(int(at[a]), int(at[b - 1]) + 1, self.m.languages[path[a]]) for a, b in zip(bounds, bounds[1:])]
-        return self.m.languages[top], float(share[top] / share.sum()), spans
+        spans = [(int(at[a]), int(at[b - 1]) + 1, names[path[a]]) for a, b in zip(bounds, bounds[1:])]
+        top = int(share[1:].argmax())
+        if share[0] >= share[top + 1]:
+            return UNDETERMINED, 0.0, spans
+        mine = own[path == top]
+        return names[top], float(share[top + 1] / share.sum()) * self.fit(mine, top), spans
+
+    def fit(self, words: np.ndarray, k: int) -> float:
+        """How well words fit language k, from 0 to 1."""
+        low, high = self.m.random[k], self.m.typical[k]
+        at = (float(self.sums[words, k].sum(dtype=np.float64)) / int(self.grams[words].sum()) - low) / max(high - low, 1e-9)
+        return min(1.0, max(0.0, (at - POOR) / (GOOD - POOR)))
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learns=None, per_language: int = PER_LANGUAGE) -> Model:
@@ -198,7 +230,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 
 def keep(df: DataFrame, model: Model, least_share: float, text: str = "text", words: int = WORDS) -> DataFrame:
-    """The rows of df whose text has a language with at least this share of its letters, in the same pass, so that no text travels."""
+    """The rows of df whose text has a language with at least this score, in the same pass, so that no text travels."""
     known, token, at = df.sparkSession.sparkContext.broadcast(model), common.token(), df.columns.index(text)
 
     def run(batches):

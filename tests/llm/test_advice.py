@@ -1,4 +1,4 @@
-"""Cases of the review: near copies of the pipeline's stage."""
+"""Cases of the review: near copies of the pipeline's stage, texts in languages that weren't learned."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glyphmill.llm import nearcopies
+from glyphmill.llm import language, nearcopies
 
 RNG = random.Random(3)
 
@@ -52,3 +52,27 @@ def test_near_copies_bounds(spark, least):
     rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "x y z")]
     kept = nearcopies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), least=least, words=2)
     assert {r["doc_id"] for r in kept.collect()} == ({1, 3} if least == 0.5 else {1, 2, 3})
+
+
+def test_unlearned_languages(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["lang"], r["text"]) for r in documents.collect()]
+    labeller = language.Labeller(language.learn([r for r in rows if r[0] != "de"]))
+    english = next(t for lang, t in rows if lang == "en" and len(t.split()) > 200).split()
+    russian = "река и камни были светлыми утром над старым мостом".split()
+    assert labeller.label(" ".join(russian))[:2] == ("und", 0.0)
+    mixed = labeller.label(" ".join(russian * 4 + english[:20]))
+    assert mixed[:2] == ("und", 0.0) and [s[2] for s in mixed[2]] == ["und", "en"]
+    third = labeller.label(" ".join(english[:60] + russian * 3))
+    assert third[0] == "en" and third[1] < 0.8
+    noise = " ".join("".join(RNG.choices("abcdefghijklmnopqrstuvwxyz", k=RNG.randint(2, 10))) for _ in range(100))
+    assert labeller.label(noise)[1] < 0.5
+    scores = {k: sorted(labeller.label(t)[1] for lang, t in rows if lang == k and len(t.split()) > 20) for k in ("de", "en", "es", "fr")}
+    assert all(scores[k][len(scores[k]) // 20] >= 0.5 for k in ("en", "es", "fr"))  # all but a twentieth
+    assert scores["de"][-len(scores["de"]) // 20] < 0.5
+
+
+def test_long_words_count_by_length():
+    labeller = language.Labeller(language.learn([("a", "lorem ipsum dolor " * 30), ("b", "zzzz qqqq xxxx " * 30)]))
+    short, long_ = (labeller.rows[labeller.forms[w]].min() for w in ("lorem", "loremipsumdolor" * 4))
+    assert short >= -language.LEAST and long_ < -2 * language.LEAST
