@@ -76,3 +76,9 @@ def test_long_words_count_by_length():
     labeller = language.Labeller(language.learn([("a", "lorem ipsum dolor " * 30), ("b", "zzzz qqqq xxxx " * 30)]))
     short, long_ = (labeller.rows[labeller.forms[w]].min() for w in ("lorem", "loremipsumdolor" * 4))
     assert short >= -language.LEAST and long_ < -2 * language.LEAST
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    rows = [(None, "a text of its own"), (7, "first text of seven"), (7, "another text"), (8, "another text"), (None, "another text"), (9, None)]
+    kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[2], rows[5]], key=str)
