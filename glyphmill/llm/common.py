@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows of one Arrow batch. Texts may have 100 kB each, so a batch stays well under an executor's memory.
 BATCH_ROWS = 1000
+#: Rows of one key from which the key is hot, at least; and the share of all rows, so that there are few hot keys.
+HOT_ROWS, HOT_SHARE = 1000, 1e-4
 
 #: Distinct words that a worker's memo holds before it starts anew.
 MEMO_WORDS = 1_000_000
@@ -21,21 +22,44 @@ SPREAD = (512, 8, 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Sets the session's rows for each Arrow batch, which are read when a query is run, not when it is written."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor takes no part of it along.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it only a local session has one, its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
-    The cluster names that folder in spark.checkpoint.dir; a folder of our own is set only where it names none.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder, so that a lost executor takes no part of it along."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="glyphmill"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def join_hot(rows: DataFrame, known: DataFrame, on: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined with known, which has one row for each key and, in column n, how many of rows have the key.
+
+    Hot keys, each with HOT_SHARE of all rows at least and so no more than 1 / HOT_SHARE of them, are broadcast, so that
+    their rows stay where they are; the others' rows are dealt out by key. Both are read twice and should be cut before.
+    """
+    total = known.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))
+    many, few = known.where(hot).drop(n), known.where(~hot).drop(n)
+    if many.isEmpty():
+        return rows.join(few, on, how)
+    keys = F.broadcast(many.select(on))
+    return rows.join(F.broadcast(many), on).unionByName(rows.join(keys, on, "left_anti").join(few, on, how))
+
+
 def fold(key: Column | str, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo; null keys fall in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % modulus, F.lit(0))
