@@ -1,8 +1,9 @@
 """Quality and toxicity classifiers, both trained with numpy on bounded samples of labelled rows.
 
 Quality: supervised subword embeddings. A word's vector is the mean of learned vectors of the word and of its character
-n-grams, hashed to a table of fixed size; a document's vector is the mean of its words', plus vectors for word n-grams
-that come back (the same word one to REACH words on, the same three words anywhere), by their share; a softmax over two
+n-grams, hashed to a table of fixed size. A document's vector is the average over its words of these and of the learned,
+hashed vectors of its word n-grams; an n-gram that a document has had already isn't counted again, though its words are. So
+a text that says the same thing over and over has little of what word n-grams have learned to stand for. A softmax over two
 classes follows. Training is stochastic gradient descent on as many rows of either class; the prior of the classes is
 added after. As all of it up to the softmax is linear, a word's share in the logit is computed once for each distinct word.
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
@@ -33,30 +35,43 @@ PER_CLASS, PER_KIND = 1500, 2000
 #: Rows of the tables of hashed vectors.
 CELLS = 1 << 17
 WIDTH, EPOCHS, RATE = 8, 6, 0.5
+#: Rows of the table of word n-grams, as a power of two: few, so that each has been learned from many.
+GRAM_BITS = 12
+#: Words of the n-grams.
+ORDERS = (1, 2, 3)
 #: A short text's words count as if there were so many more, of no class.
 SMOOTH = 4
-REACH = 8
-#: Cells of the n-grams that come back: for each distance, and for three words.
-BACK = [zlib.crc32(b"<back>", k) % CELLS for k in range(REACH + 1)]
 #: A word needs a difference of so many standard deviations between toxic and unlabelled texts to be of use.
 SIGNIFICANT = 6.0
 _EDGE = string.punctuation + "“”„‘’«»…–—¡¿"
 
 
 def _cells(word: str) -> list[int]:
-    """Cells of a word and of its character n-grams of three and four, with its case and its marks."""
+    """Cells of a word and of its n-grams of three and four characters, with its case and its marks."""
     w = f"<{word}>".encode("utf-8", "surrogatepass")
-    return [zlib.crc32(w) % CELLS] + [zlib.crc32(w[i : i + n], 1) % CELLS for n in (3, 4) for i in range(max(0, len(w) - n + 1))]
+    if len(w) == len(word) + 2:
+        at = range(len(w) + 1)
+    else:  # where its characters begin
+        at = [i for i, byte in enumerate(w) if byte & 0xC0 != 0x80] + [len(w)]
+    return [zlib.crc32(w) % CELLS] + [zlib.crc32(w[at[i] : at[i + n]], 1) % CELLS for n in (3, 4) for i in range(len(at) - n)]
 
 
-def _back(ids: np.ndarray) -> list[float]:
-    """Shares of words that come back at each distance, and of three-word windows that come back."""
-    n = max(1, len(ids))
-    shares = [float(np.count_nonzero(ids[k:] == ids[:-k])) / n for k in range(1, REACH + 1)]
-    if len(ids) < 3:
-        return [*shares, 0.0]
-    windows = (ids[2:] * np.int64(1_000_003) + ids[1:-1]) * np.int64(1_000_003) + ids[:-2]
-    return [*shares, 1 - len(np.unique(windows)) / len(windows)]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """Cells of the distinct n-grams of a text's words, given the words' hashes."""
+    parts, now = [], hashes
+    for n in range(1, max(ORDERS) + 1):
+        if n > 1:
+            now = (now[:-1] ^ (now[:-1] >> np.uint64(29))) * _MIX + hashes[n - 1 :]
+        if n in ORDERS and len(now):
+            parts.append(((np.unique(now) * _MIX) >> np.uint64(64 - GRAM_BITS)).astype(np.int64) + CELLS)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def sampled(df: DataFrame, labels: DataFrame, label: str, learns: Column, bound: int, key: str = "doc_id", text: str = "text") -> list[tuple[int, str]]:
@@ -78,13 +93,14 @@ class Subwords:
 
 def train_subwords(rows: list[tuple[int, str]], prior: float = 0.5, epochs: int = EPOCHS, seed: int = 3) -> Subwords:
     if len({label for label, _ in rows}) < 2:
-        return Subwords(np.zeros(CELLS, np.float32), 0.0 if not rows else (2.0 if rows[0][0] else -2.0))
+        return Subwords(np.zeros(CELLS + (1 << GRAM_BITS), np.float32), 0.0 if not rows else (2.0 if rows[0][0] else -2.0))
     rng = np.random.default_rng(seed)
     docs = []
     for _, text in rows:
         words, numbers = text.split(), {}
         ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
-        cells, weight = list(BACK), _back(ids)
+        once = _grams(np.array([_hash(w) for w in numbers], np.uint64)[ids])
+        cells, weight = once.tolist(), [1 / (len(words) + SMOOTH)] * len(once)
         for word, n in zip(numbers, np.bincount(ids, minlength=len(numbers)) / (len(words) + SMOOTH)):
             c = _cells(word)
             cells += c
@@ -92,7 +108,7 @@ def train_subwords(rows: list[tuple[int, str]], prior: float = 0.5, epochs: int
         at, back = np.unique(np.array(cells, np.int64), return_inverse=True)
         docs.append((at, np.bincount(back, np.array(weight, np.float64), len(at)).astype(np.float32)))
     y = np.array([label for label, _ in rows], np.int64)
-    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (CELLS, WIDTH)).astype(np.float32)
+    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (CELLS + (1 << GRAM_BITS), WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount(y, minlength=2) / len(y)
     steps, done = epochs * len(docs), 0
@@ -217,33 +233,37 @@ def _scores(df: DataFrame, key: str, text: str, start) -> DataFrame:
     return rows.select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def score_quality(df: DataFrame, model: Subwords, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score (of label 1), predicted."""
-    known = df.sparkSession.sparkContext.broadcast(model)
+class Scorer:
+    """Scores texts; remembers what each word adds."""
 
-    def start():
-        cells, bias = known.value.cells, known.value.bias
-        values = np.zeros(1024)
+    def __init__(self, model: Subwords):
+        self.cells, self.bias = model.cells, model.bias
+        self.values, self.hashes = np.zeros(1024), np.zeros(1024, np.uint64)
+        self.memo = common.Memo(self._number)
 
-        def number(word):
-            nonlocal values
-            if len(memo) >= len(values):
-                values = np.concatenate([values, np.zeros_like(values)])
-            values[len(memo)] = cells[_cells(word)].mean()
-            return len(memo)
+    def _number(self, word: str) -> int:
+        i = len(self.memo)
+        if i >= len(self.values):
+            self.values, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.values, self.hashes))
+        self.values[i], self.hashes[i] = self.cells[_cells(word)].mean(), _hash(word)
+        return i
 
-        memo = common.Memo(number)
+    def __call__(self, text: str | None) -> float:
+        self.memo.fresh()
+        ids = np.fromiter(map(self.memo.__getitem__, (text or "").split()), np.int64)
+        z = self.bias + float(self.values[ids].sum() + self.cells[_grams(self.hashes[ids])].sum(dtype=np.float64)) / (len(ids) + SMOOTH)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
-        def one(t):
-            memo.fresh()
-            ids = np.fromiter(map(memo.__getitem__, (t or "").split()), np.int64)
-            z = bias + values[ids].sum() / (len(ids) + SMOOTH) + float(np.dot(_back(ids), cells[BACK]))
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
-        return lambda batch: {"key": batch.column(0), "score": pa.array(map(one, batch.column(1).to_pylist()), pa.float64())}
+def score_quality(df: DataFrame, model: Subwords, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, score (of label 1), predicted."""
+    known, token = df.sparkSession.sparkContext.broadcast(model), common.token()
 
-    token = common.token()
-    return _scores(df, key, text, lambda: common.per_worker("quality", token, start))
+    def start():
+        scorer = common.per_worker("quality", token, lambda: Scorer(known.value))
+        return lambda batch: {"key": batch.column(0), "score": pa.array(map(scorer, batch.column(1).to_pylist()), pa.float64())}
+
+    return _scores(df, key, text, start)
 
 
 def score_marks(df: DataFrame, model: Marks, key: str = "doc_id", text: str = "text") -> DataFrame:
