@@ -28,6 +28,8 @@ from . import common
 
 #: Documents of each language to learn from, at most.
 PER_LANGUAGE = 600
+#: Characters of a text to learn from, at most, and languages learned, those with the most documents: what the driver gets is bounded.
+LONGEST, LANGUAGES = 200_000, 200
 #: Cells of the table of n-gram counts, for each language.
 CELLS = 1 << 18
 #: Words that a worker remembers.
@@ -199,7 +201,9 @@ class Labeller:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learns=None, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from at most per_language documents of each language for which the condition `learns` holds."""
     rows = df.select(df[key].alias("key"), df[text].alias("text"), df[lang].alias("lang"), (F.lit(True) if learns is None else learns).alias("ok"))
-    rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL")
+    rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL").where(F.char_length("text") <= LONGEST)
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    rows = rows.join(F.broadcast(most), "lang", "left_semi")
     chosen = common.stratified(rows.select("key", "lang"), "key", "lang", per_language)  # without the texts
     found = rows.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").orderBy("key").select("lang", "text").collect()
     return learn([(r[0], r[1]) for r in found])
