@@ -6,41 +6,54 @@ card numbers keep their length and have a right Luhn digit, IBANs right check di
 exist. Secrets, mail addresses and telephone numbers keep the class of each character. What fails its check (a 16-digit
 number without a right Luhn digit, an octet of 300, 31 February) is no such value and stays.
 
-A text keeps its number of characters. Null texts stay null, empty ones empty. Repeated rows are treated alike.
-Domains aren't powers of two: the network works on the next even number of bits, again and again until the result is in
-the domain.
+A value has one pseudonym in all its forms: a telephone number with its country and without marks between, a date in any
+order and with any marks. A date stays in its class of one or two digits for day and month, so that each form can write it.
+
+A text keeps its number of characters. Null texts stay null, empty ones empty. Repeated rows are treated alike, ties don't
+arise. Very long texts take time in proportion to their length, values of more than BLOCK characters are permuted block by
+block. An empty table gives an empty one. Domains aren't powers of two: the network works on the next even number of bits,
+again and again until the result is in the domain.
+
+The key is the caller's. key_of() takes it from the session; where that has none, each run draws its own, so that pseudonyms
+link documents within the run only and nobody can undo them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import string
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from . import common
 
-#: For tests and the registered queries; a deployment passes its own secret.
-KEY = b"glyphmill test key"
+#: The session's setting of the key.
+KEY_SETTING = "spark.glyphmill.key"
 ROUNDS = 8
+#: Characters that are permuted together.
+BLOCK = 64
 KINDS = ("card", "iban", "ipv4", "date", "ssn", "phone", "email", "secret")
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
+# each begins where no earlier place could have begun it, so that no character is read more than a few times
 _PATTERN = re.compile(
-    r"""(?P<secret>(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?)(?P<value>[A-Za-z0-9+/_\-]{12,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9A-F]{64})\b))"""
-    r"""|(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"""
-    r"""|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"""
-    r"""|(?P<phone>(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,4})){2,5}(?!\d|\.\d)|(?<![\w(])\(\d{3}\)[ ]?\d{3}[-. ]\d{4}(?!\d))"""
-    r"""|(?P<ipv4>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"""
-    r"""|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[./-]\d))"""
-    r"""|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"""
-    r"""|(?P<card>(?<![\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d))"""
+    r"""(?P<secret>(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)["']?\s{0,8}[=:]\s{0,8}["']?)(?P<value>[A-Za-z0-9+/_\-]{12,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9A-F]{64})\b))"""
+    r"""|(?P<email>(?<![\w.%+-])[\w.%+-]++@[\w-]++(?:\.[\w-]++)+)"""
+    r"""|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"""
+    r"""|(?P<phone>(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9]|\.[0-9])|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[-. ][0-9]{4}(?![0-9]))"""
+    r"""|(?P<ipv4>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"""
+    r"""|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9]))"""
+    r"""|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"""
+    r"""|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9]))"""
 )
+# fixed values: country codes of one and two digits (ITU-T E.164); all others have three
+COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: A text without any of these can hold nothing of the above but a bare secret, which has digits too.
-_HINT = re.compile(r"[\d@]|(?i:token|secret|passw|pwd|api.?key|access.?key)")
+_HINT = re.compile(r"[0-9@]|(?i:token|secret|passw|pwd|api.?key|access.?key)")
 
 
 class Permutation:
@@ -88,11 +101,16 @@ def _mod97(iban: str) -> int:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.permute = Permutation(key)
 
     def by_class(self, text: str, tweak: str, classes: dict = _CLASSES) -> str:
         """Each character becomes one of its class, together as one number in mixed radix."""
+        if len(text) > BLOCK:  # block by block, each in dependence on the one before
+            parts, tweak = [], f"{tweak}/{len(text)}"
+            for at in range(0, len(text), BLOCK):
+                parts.append(self.by_class(text[at : at + BLOCK], f"{tweak}/{at}/{parts[-1] if parts else ''}", classes))
+            return "".join(parts)
         value, n = 0, 1
         for c in text:
             if c in classes:
@@ -111,10 +129,10 @@ class Pseudonyms:
     @staticmethod
     def _filled(form: str, digits: str) -> str:
         each = iter(digits)
-        return re.sub(r"\d", lambda _: next(each), form)
+        return re.sub(r"[0-9]", lambda _: next(each), form)
 
     def card(self, text: str) -> str | None:
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub(r"[^0-9]", "", text)
         if not luhn(digits) or len(set(digits)) == 1:
             return None
         n = len(digits) - 1
@@ -159,15 +177,17 @@ class Pseudonyms:
             return None
         if not 0 <= at < DAYS:
             return None
-        fits = lambda d: iso or swapped == (False if "/" not in text else swapped) and [len(str(d.day)), len(str(d.month))] == [len(str(day)), len(str(month))] and (not swapped or d.day > 12)
-        while True:  # only dates that this form can write, and would read back alike
+        # of one class, so that each form has room for it and is read back alike
+        kind = lambda d: ((d.day > 9) + (d.day > 12), d.month > 9)
+        old = new = date(year, month, day)
+        while True:
             at = self.permute(at, DAYS, "date")
             new = FIRST_DAY + timedelta(at)
-            if fits(new):
+            if kind(new) == kind(old):
                 break
         values = (new.year, new.month, new.day) if iso else (new.month, new.day, new.year) if swapped else (new.day, new.month, new.year)
         each = iter(str(v).zfill(len(p)) for v, p in zip(values, parts))
-        return re.sub(r"\d+", lambda _: next(each), text)
+        return re.sub(r"[0-9]+", lambda _: next(each), text)
 
     def ssn(self, text: str) -> str | None:
         def valid(d: str) -> bool:
@@ -182,14 +202,14 @@ class Pseudonyms:
                 return self._filled(text, digits)
 
     def phone(self, text: str) -> str | None:
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub(r"[^0-9]", "", text)
         if not 8 <= len(digits) <= 15:
             return None
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        fixed = len(code[0]) if code else 0  # the country stays
-        rest = text[fixed:]
-        n = len(re.sub(r"\D", "", rest))
-        return text[:fixed] + self._filled(rest, str(self.permute(int(re.sub(r"\D", "", rest)), 10**n, "phone" + text[:fixed])).zfill(n))
+        code = ""  # the country stays
+        if text[0] == "+":
+            code = next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRIES), digits[:3])
+        own = digits[len(code) :]
+        return self._filled(text, code + str(self.permute(int(own), 10 ** len(own), "phone" + (code or "1"))).zfill(len(own)))
 
     def email(self, text: str) -> str:
         name, _, domain = text.rpartition("@")
@@ -219,7 +239,13 @@ class Pseudonyms:
         return ("".join([*parts, text[at:]]) if found else text), found
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY, counts: bool = True) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; without one, a new one for this run."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
+def pseudonymise(df: DataFrame, key: bytes, text: str = "text", counts: bool = True) -> DataFrame:
     """df with its text pseudonymised; with counts also n_<kind> (int) for each of KINDS. All columns of df stay.
 
     Columns of df with the names of the counts are replaced.

@@ -46,7 +46,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return private.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), private.key_of(spark))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def test_classifiers(spark, docs):
 
 
 def test_pii(spark, docs):
-    p = private.Pseudonyms()
+    p = private.Pseudonyms(b"a key")
     text = "a.b7@mail.example.com 4111 1111 1111 1111 4111111111111112 +1 (017) 555-7713 10.20.30.40 999.1.1.1 1999-02-28 1999-02-31 DE89370400440532013000 078-05-1120 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" version 4.0."
     new, found = p.replace(text)
     assert len(new) == len(text) and sorted(f[0] for f in found) == sorted(["email", "card", "phone", "ipv4", "date", "iban", "ssn", "secret"])
@@ -152,7 +152,7 @@ def test_pii(spark, docs):
     assert p.replace(text) == (new, found) and private.Pseudonyms(b"other").replace(text)[0] != new
     for n in (1, 2, 10, 97, 1000):
         assert sorted(p.permute(i, n, "t") for i in range(n)) == list(range(n))
-    out = private.pseudonymise(docs)
+    out = private.pseudonymise(docs, b"a key")
     assert out.columns[:5] == docs.columns and out.count() == docs.count()
 
 
