@@ -45,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_hot(rows: DataFrame, known: DataFrame, on: str, n: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, known: DataFrame, on: str | list[str], n: str, how: str = "inner") -> DataFrame:
     """rows joined with known, which has one row for each key and, in column n, how many of rows have the key.
 
     Hot keys, each with HOT_SHARE of all rows at least and so no more than 1 / HOT_SHARE of them, are broadcast, so that
@@ -56,10 +56,37 @@ def join_hot(rows: DataFrame, known: DataFrame, on: str, n: str, how: str = "inn
     many, few = known.where(hot).drop(n), known.where(~hot).drop(n)
     if many.isEmpty():
         return rows.join(few, on, how)
-    keys = F.broadcast(many.select(on))
+    keys = F.broadcast(many.select(*([on] if isinstance(on, str) else on)))
     return rows.join(F.broadcast(many), on).unionByName(rows.join(keys, on, "left_anti").join(few, on, how))
 
 
+#: Names of a row's digests: 96 bits of all that tells rows apart.
+DIGEST = ["__row", "__more"]
+
+
+def digests(*columns: Column) -> list[Column]:
+    """A row's digests over the columns; nulls count."""
+    parts = [c for column in columns for c in (F.isnull(column), column)]
+    return [F.xxhash64(*parts).alias(DIGEST[0]), F.hash(F.lit(1), *parts).alias(DIGEST[1])]
+
+
+def chosen_rows(df: DataFrame, wanted: DataFrame, n: str, *columns: Column) -> DataFrame:
+    """Of the rows of df whose digests are in wanted, one for each digest; with the columns of df and the others of wanted.
+
+    wanted has one row for each digest and, in column n, how often df has it. Rows travel once, by digest. Those that repeat so
+    often that their digest is hot stay where they are until only a few of each are left.
+    """
+    marked = df.select("*", *digests(*columns))
+    total = wanted.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HOT_ROWS, int(total * HOT_SHARE))
+    many, few = wanted.where(hot).drop(n), wanted.where(~hot).drop(n)
+    if many.isEmpty():
+        return marked.join(few, DIGEST).dropDuplicates(DIGEST)
+    apart = marked.join(F.broadcast(many), DIGEST).dropDuplicates(DIGEST)
+    rest = marked.join(F.broadcast(many.select(*DIGEST)), DIGEST, "left_anti").join(few, DIGEST).dropDuplicates(DIGEST)
+    return apart.unionByName(rest)
+
+
 def fold(key: Column | str, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo; null keys fall in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % modulus, F.lit(0))

@@ -15,7 +15,8 @@ Rows of equal fingerprints are one class from the start. Components come from la
 representatives, each round cut in the shared checkpoint folder.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows without an id get the component of their
-fingerprint; they represent no class. Repeated rows stay.
+fingerprint; they represent no class. Repeated rows stay. Very long texts are read block by block. Ties go to the smaller id. Empty
+tables give empty ones. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ def links(classes: DataFrame) -> DataFrame:
     sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("m").alias("low"), F.max("m").alias("high")).where("n > 1")
     sizes = common.cut(sizes)
     two = sizes.where("n = 2").select(F.col("low").alias("x"), F.col("high").alias("y"))
-    more = cells.join(sizes.where("n > 2").select("grid", "cell", "n"), ["grid", "cell"])
+    kept = sizes.where("n > 2").select("grid", "cell", "n", F.col("n").alias("size"))
+    more = common.join_hot(cells, kept, ["grid", "cell"], "size")
     some = (
         more.where(F.col("n") <= CELL).groupBy("grid", "cell").agg(F.collect_list("m").alias("ms"))
         .select(F.explode("ms").alias("x"), "ms").select("x", F.explode("ms").alias("y")).where("x.rep < y.rep")
@@ -144,14 +146,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint (16 hexadecimal digits), component_id (the smallest key reachable over links)."""
     rows = common.cut(fingerprints(df, key, text))
-    classes = common.cut(rows.groupBy("fp").agg(F.min("key").alias("rep")))
+    classes = common.cut(rows.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
     roots = components(links(classes.where("rep IS NOT NULL")))
-    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(labels, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
+    return common.join_hot(rows, common.cut(labels), "fp", "n").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one row of each component, that of the smallest key; of rows with one key, one. Rows without a key go."""
     found = near_duplicates(df, key, text)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return df.join(kept, key, "left_semi").dropDuplicates([key]).select(df.columns)
+    kept = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n"))
+    rows = df.where(df[key].isNotNull()).withColumn("__key", df[key])
+    wanted = common.cut(kept.select(*common.digests(F.col(key)), "n"))
+    return common.chosen_rows(rows, wanted, "n", F.col("__key")).select(df.columns)

@@ -205,15 +205,30 @@ def test_simhash(spark, docs):
 
 
 def test_pipeline(spark, sf):
+    """Each stage by other means: labels one by one, rules in DuckDB, near copies of five words by all pairs, pseudonyms and ids text by text."""
+    import duckdb
+
     import corpus_pipeline
+    from tests.llm.test_advice import _brute
 
     documents = spark.read.parquet(f"{sf}/documents.parquet")
-    model = language.fit(documents, learns=language.learnable())
-    labels = {r["doc_id"]: r for r in language.identify(documents, model).collect()}
-    kept = [r["doc_id"] for r in documents.collect() if labels[r["doc_id"]]["lang_pred"] != "und" and labels[r["doc_id"]]["score"] >= 0.5]
-    good = {r["doc_id"] for r in quality.judge(documents.where(F.col("doc_id").isin(kept))).where("kept").collect()}
-    first = {r["component_id"] for r in simhash.near_duplicates(documents.where(F.col("doc_id").isin(list(good)))).collect()}
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in rows} == first
-    total = {r["doc_id"]: r["doc_tokens"] for r in rows}
-    assert sum(r["length"] for r in rows) == sum(total.values())
+    labeller = language.Labeller(language.fit(documents, learns=language.learnable()))
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    found = {i: labeller.label(t) for i, t in texts.items()}
+    kept = {i for i, (lang, score, _) in found.items() if lang != "und" and score >= corpus_pipeline.LEAST_SHARE}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    kept &= {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality.ORACLE_SQL}) WHERE kept").fetchall()}
+    first = {i for _, i in _brute([(i, texts[i]) for i in sorted(kept)])}
+    spark.conf.set(private.KEY_SETTING, "of the test")
+    try:
+        rows = corpus_pipeline.run(spark, sf).collect()
+    finally:
+        spark.conf.unset(private.KEY_SETTING)
+    assert {r["doc_id"] for r in rows} == first and len(first) < len(texts)
+    pseudonyms, tokenizer = private.Pseudonyms(b"of the test"), packing.Tokens(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()).tokenizer
+    for i in first:
+        ids = np.array([*tokenizer.encode(pseudonyms.replace(texts[i])[0], add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == [0, *np.cumsum([r["length"] for r in own])[:-1]] and sum(r["length"] for r in own) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
