@@ -8,7 +8,11 @@ Unigram models: a path's score is the sum of its pieces' scores. BPE models: a p
 the two alone gives the two again; that leaves exactly one path to each boundary, the one that merging the whole text
 gives, so that ids equal those of rank-ordered merging.
 
-Nulls stay null, an empty text has no ids. Ties of unigram scores go to the longer last piece.
+All texts are searched that way, words too; a word's ids are remembered. Between words, and between characters that no piece has
+side by side, all paths meet, so that a text may be cut there before it is searched.
+
+Nulls stay null, an empty text has no ids, very long texts take a window of bounded size, repeated rows are encoded each for
+itself. Ties of unigram scores go to the longer last piece. An empty table gives an empty one. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -211,69 +215,58 @@ class Codec:
         return may
 
     def pieces(self, text: str):
-        """The pieces of a prepared text, each as soon as it is certain."""
-        bpe, longest, vocabulary = self.v.model == BPE, self.longest, self.score
-        if bpe and len(text) <= 2 * longest:  # the window holds all of it
-            yield from self._short(text)
-            return
-        # what is known of the boundaries from base on: start and text of the piece that ends there, score of the path
-        base, came, last, best = 0, {0: 0}, {0: ""}, {0: 0.0}
-        for end in range(1, len(text) + 1):
-            found, top, whence = None, 0.0, 0
-            for start in range(max(base, end - longest), end):
-                if start not in came:
+        """The pieces of a prepared text, each as soon as it is certain.
+
+        Of the boundaries from base on, the window, it is known where the piece that ends there begins, which it is, and the
+        path's score. Once the window is twice as long as the longest piece, the paths from all boundaries that a piece can
+        still begin at are followed back; what lies before the place where they meet is given out and leaves the window. A text
+        of any length needs a window of three times the longest piece, unless its paths don't meet.
+        """
+        bpe, longest, vocabulary, follows, unknown = self.v.model == BPE, self.longest, self.score, self.follows, self.unknown_score
+        base, came, last, best, known = 0, [0], [""], [0.0], [_NONE]
+        n, check = len(text), 2 * self.longest
+        for end in range(1, n + 1):
+            found, top, whence = None, 0.0, -1
+            for start in range(end - longest if end - longest > base else base, end):
+                at = start - base
+                if came[at] < 0:  # no piece ends there
                     continue
                 piece = text[start:end]
                 if piece in vocabulary:
                     gain = vocabulary[piece]
                 elif start == end - 1:
-                    gain = self.unknown_score
+                    gain = unknown
                 else:
                     continue
                 if bpe:
-                    if self._may_follow(last[start], piece) if last[start] else len(piece) == 1 or self._whole(piece):
-                        found, whence = piece, start
-                        break
-                elif found is None or best[start] + gain > top:
-                    found, top, whence = piece, best[start] + gain, start
-            if found is None:
-                continue
-            came[end], last[end], best[end] = whence, found, top
-            if end - base >= 2 * longest and end % longest == 0:
-                alive = {b for b in came if b > end - longest}
-                while len(alive) > 1:
+                    if last[at]:
+                        may = known[at].get(piece)
+                        if not (self._may_follow(last[at], piece) if may is None else may):
+                            continue
+                    elif len(piece) > 1 and not self._whole(piece):
+                        continue
+                    found, whence = piece, start
+                    break
+                if found is None or best[at] + gain > top:
+                    found, top, whence = piece, best[at] + gain, start
+            came.append(whence)
+            last.append(found)
+            best.append(top)
+            known.append(follows.get(found, _NONE) if bpe else _NONE)
+            if end - base == check:
+                alive = {b for b in range(end - longest + 1, end + 1) if came[b - base] >= 0}
+                while len(alive) > 1 and base not in alive:
                     latest = max(alive)
                     alive.remove(latest)
-                    alive.add(came[latest] if latest > base else latest)
-                    if base in alive:
-                        break
+                    alive.add(came[latest - base])
                 meet = min(alive)
                 if meet > base:
                     yield from self._path(came, last, base, meet)
+                    for window in (came, last, best, known):
+                        del window[: meet - base]
                     base = meet
-                    came = {b: s for b, s in came.items() if b >= base}
-                    last = {b: p for b, p in last.items() if b >= base}
-                    best = {b: s for b, s in best.items() if b >= base}
-        yield from self._path(came, last, base, len(text))
-
-    def _short(self, text: str) -> list[str]:
-        """The same search over a text within the window; each boundary of a BPE model is reached by one path."""
-        vocabulary, longest, follows, n = self.ids, self.longest, self.follows, len(text)
-        last, came, known = [""] * (n + 1), [0] * (n + 1), [_NONE] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = text[start:end]
-                if piece in vocabulary or start == end - 1:
-                    if start:
-                        may = known[start].get(piece)
-                        if not (self._may_follow(last[start], piece) if may is None else may):
-                            continue
-                    elif end > 1 and not self._whole(piece):
-                        continue
-                    last[end], came[end] = piece, start
-                    known[end] = follows.get(piece, _NONE)
-                    break
-        return self._path(came, last, 0, n)
+                check = max(2 * longest, end - base + longest)
+        yield from self._path(came, last, base, n)
 
     def _whole(self, piece: str) -> bool:
         """Does merging a piece's own characters give the piece?"""
@@ -283,11 +276,11 @@ class Codec:
         return known
 
     @staticmethod
-    def _path(came: dict, last: dict, base: int, end: int) -> list[str]:
+    def _path(came: list, last: list, base: int, end: int) -> list[str]:
         out = []
         while end > base:
-            out.append(last[end])
-            end = came[end]
+            out.append(last[end - base])
+            end = came[end - base]
         return out[::-1]
 
     def _parts(self, text: str) -> bytes:

@@ -232,3 +232,15 @@ def test_pipeline(spark, sf):
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
         assert [r["start"] for r in own] == [0, *np.cumsum([r["length"] for r in own])[:-1]] and sum(r["length"] for r in own) == len(ids)
         assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+
+
+def test_streaming_window_is_bounded(monkeypatch):
+    codec = sentencepiece.Codec(sentencepiece.load(public_tokenizers.path("piece_bpe_32k.model")))
+    windows, path = [], sentencepiece.Codec._path
+    monkeypatch.setattr(sentencepiece.Codec, "_path", staticmethod(lambda came, last, base, end: windows.append((len(came), end - base)) or path(came, last, base, end)))
+    text = "".join(RNG.choices("abcdefghilmnoprstu", k=20_000))
+    parts = list(codec.pieces(text))
+    assert "".join(parts) == text and len(windows) > 500 and max(w for w, _ in windows) <= 4 * codec.longest and sum(n for _, n in windows) == len(text)
+    windows.clear()
+    codec.encode("a word or two")
+    assert windows  # words are searched the same way
