@@ -68,7 +68,7 @@ def pieces(t: Column, java: str) -> Column:
 
 
 def whitespace(t: Column) -> Column:
-    return pieces(t, rf"[{WORD}]+|[^\s{WORD}]+")
+    return pieces(t, rf"[{WORD}]+|(?U:[^\s{WORD}])+")
 
 
 def whitespace_split(t: Column) -> Column:
@@ -84,7 +84,7 @@ def punctuation(t: Column) -> Column:
 
 
 def bert(t: Column) -> Column:
-    return pieces(t, r"[!-/:-@\[-\x60{-~\p{P}]|[^\s!-/:-@\[-\x60{-~\p{P}]+")
+    return pieces(t, r"[!-/:-@\[-\x60{-~\p{P}]|(?U:[^\s!-/:-@\[-\x60{-~\p{P}])+")
 
 
 def char_delimiter(t: Column, delimiter: str) -> Column:
@@ -93,7 +93,7 @@ def char_delimiter(t: Column, delimiter: str) -> Column:
 
 def metaspace(t: Column, mark: str = "▁") -> Column:
     marked = replace(t, " ", mark)
-    return pieces(F.when(marked.startswith(mark) | (marked == ""), marked).otherwise(F.concat(F.lit(mark), marked)), f"{mark}?[^{mark}]+|{mark}")
+    return pieces(F.when(marked.startswith(mark) | (marked == ""), marked).otherwise(F.concat(F.lit(mark), marked)), f"{quote(mark)}?(?:(?!{quote(mark)})(?s:.))+|{quote(mark)}")
 
 
 def split_on(t: Column, c: str, behavior: str) -> Column:

@@ -105,9 +105,12 @@ class TextPipeline:
     def token_frequencies(self, df: DataFrame, text: str = "text") -> DataFrame:
         """id, token, n over all texts: pieces are counted first, and the model runs once for each distinct piece.
 
-        For pipelines whose normalizer and pre-tokenizer part texts at white space.
+        Pieces are words where the pre-tokenizer drops white space, else whole texts, so that what stands around a word counts.
         """
-        words = df.select(F.explode(F.split(F.col(text), r"(?U)\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+        word = F.col(text)
+        if (self.spec.pre_tokenizer or {}).get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") and not self.spec.added:
+            word = F.explode(F.split(word, r"(?U)\s+"))
+        words = df.select(word.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
         tokens = self.encode(words, "word", "e", add_special=False).select("n", F.explode(F.arrays_zip("e.ids", "e.tokens")).alias("t"))
         return tokens.groupBy(F.col("t.ids").alias("id"), F.col("t.tokens").alias("token")).agg(F.sum("n").alias("n"))
 

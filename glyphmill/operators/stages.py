@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 from .aligned import CONTIGUOUS, ISOLATED, NEXT, REMOVED, WHITE, Aligned, Pattern
 
@@ -25,6 +26,11 @@ class SpecError(ValueError):
     pass
 
 
+def byte_level(text: str) -> str:
+    """A text's bytes in the byte alphabet."""
+    return "".join(map(BYTE_CHARS.__getitem__, text.encode("utf-8", "surrogatepass")))
+
+
 # ---------------------------------------------------------------- normalizers
 def _byte_level(c: str) -> str:
     return "".join(BYTE_CHARS[b] for b in c.encode("utf-8", "surrogatepass"))
@@ -366,37 +372,23 @@ class Unigram(Vocabulary):
         self.unknown_score = min(self.scores.values(), default=0.0) - 10
         self.longest = max(map(len, self.scores), default=1)
 
+    def _ending(self, text: str, end: int) -> list[tuple[float, int, str | None]]:
+        """(score, start, piece) of what may end a path at `end`, the longest first: pieces, and an unknown character where it is no piece."""
+        starts = range(max(0, end - self.longest), end)
+        found = [(self.scores[text[i:end]], i, text[i:end]) for i in starts if text[i:end] in self.scores]
+        return found if found and found[-1][1] == end - 1 else [*found, (self.unknown_score, end - 1, None)]
+
     def pieces(self, text: str) -> list[str]:
-        n = len(text)
-        best: list[float | None] = [0.0] + [None] * n
-        came, known = [0] * (n + 1), [True] * (n + 1)
-        for at in range(n):
-            if best[at] is None:
-                continue
-            single = False
-            for end in range(at + 1, min(n, at + self.longest) + 1):
-                score = self.scores.get(text[at:end])
-                if score is not None:
-                    single = single or end == at + 1
-                    if best[end] is None or best[at] + score > best[end]:
-                        best[end], came[end], known[end] = best[at] + score, at, True
-            if not single and (best[at + 1] is None or best[at] + self.unknown_score > best[at + 1]):
-                best[at + 1], came[at + 1], known[at + 1] = best[at] + self.unknown_score, at, False
-        out, end = [], n
-        fused = None
+        """The path of the highest score; runs of unknown characters are one piece. Of equal scores the longest last piece."""
+        paths: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
+        for end in range(1, len(text) + 1):
+            paths.append(max(((paths[start][0] + score, start, piece) for score, start, piece in self._ending(text, end)), key=lambda p: p[0]))
+        steps, end = [], len(text)
         while end:
-            at = came[end]
-            if known[end]:
-                if fused:
-                    out.append(text[end:fused])
-                    fused = None
-                out.append(text[at:end])
-            else:
-                fused = fused or end
-            end = at
-        if fused:
-            out.append(text[:fused])
-        return out[::-1]
+            _, start, piece = paths[end]
+            steps.append((piece is None, text[start:end]))
+            end = start
+        return [part for unknown, run in groupby(reversed(steps), key=lambda s: s[0]) for part in (["".join(s[1] for s in run)] if unknown else [s[1] for s in run])]
 
     def tokenize(self, text: str) -> list[Token]:
         out, at = [], 0

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from . import stages
+from ..functions.dialect import to_python
 from .aligned import Aligned
 
 Span = tuple[int, int]
@@ -252,6 +253,11 @@ class Tokenizer:
                     new += 1
             if a.special:
                 self.special.add(a.content)
+        # byte-level pieces of a text that isn't normalized don't depend on what stands around them: their ids are remembered
+        first = spec.pre_tokenizer or {}
+        fast = spec.normalizer is None and first.get("type") == "ByteLevel" and first.get("use_regex", True)
+        self.division = to_python(stages.BYTE_PATTERN) if fast else None
+        self.leading, self.known = first.get("add_prefix_space", True), {}
         self.new, self.back = new, {i: t for t, i in self.added.items()}
         # at each place the longest; ties can't be, as contents differ
         self.finder = re.compile("|".join(map(re.escape, sorted(self.added, key=lambda t: (-len(t.encode()), t))))) if self.added else None
@@ -308,6 +314,17 @@ class Tokenizer:
         for part, i in self.segments(text):
             if i is not None:
                 out.append(i)
+            elif self.division is not None:
+                if self.leading and part and part[0] != " ":
+                    part = " " + part
+                known = self.known
+                if len(known) > 500_000:
+                    known.clear()
+                for piece in self.division.findall(part):
+                    found = known.get(piece)
+                    if found is None:
+                        found = known[piece] = [t[0] for t in self.model.tokenize(stages.byte_level(piece))]
+                    out += found
             else:
                 for piece in self.pieces(part):
                     out += [t[0] for t in self.model.tokenize(piece.text)]

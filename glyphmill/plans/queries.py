@@ -91,9 +91,9 @@ def _ids(name: str, make: Callable[[Column], Column], sql: str) -> None:
 
 _repeat = lambda n: f"list_transform(range(greatest(0, {n})), lambda x: 0)"
 _ids("post_bert", lambda a: expr.bert_ids(a, None, 101, 102), "list_concat(list_concat([101], a), [102])")
-_ids("post_bert_pair", lambda a: expr.bert_ids(a, expr.truncate(a, 5), 101, 102), "list_concat(list_concat(list_concat(list_concat([101], a), [102]), a[1:5]), [102])")
+_ids("post_bert_pair", lambda a: expr.bert_ids(a, a, 101, 102), "list_concat(list_concat(list_concat(list_concat([101], a), [102]), a), [102])")
 _ids("post_roberta", lambda a: expr.roberta_ids(a, None, 0, 2), "list_concat(list_concat([0], a), [2])")
-_ids("post_roberta_pair", lambda a: expr.roberta_ids(a, expr.truncate(a, 5), 0, 2), "list_concat(list_concat(list_concat(list_concat([0], a), [2, 2]), a[1:5]), [2])")
+_ids("post_roberta_pair", lambda a: expr.roberta_ids(a, a, 0, 2), "list_concat(list_concat(list_concat(list_concat([0], a), [2, 2]), a), [2])")
 _ids("truncate_right", lambda a: expr.truncate(a, 64), "a[1:64]")
 _ids("truncate_left", lambda a: expr.truncate(a, 64, True), "a[greatest(1, len(a) - 63):]")
 _ids("pad_right", lambda a: expr.pad(a, 128), f"list_concat(a, {_repeat('128 - len(a)')})")
