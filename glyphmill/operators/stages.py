@@ -501,7 +501,14 @@ def decoder(spec: dict | None) -> Callable[[list[str]], list[str]] | None:
         suffix = _nonempty(spec.get("suffix", "</w>"), "suffix")
         return lambda tokens: [t.replace(suffix, " " if i < len(tokens) - 1 else "") for i, t in enumerate(tokens)]
     if kind == "ByteLevel":
-        return lambda tokens: [b"".join(bytes([CHAR_BYTES[c]]) if c in CHAR_BYTES else c.encode() for t in tokens for c in t).decode("utf-8", "replace")]
+        known: dict[str, bytes] = {}  # of the vocabulary's tokens
+
+        def joined(tokens):
+            for t in set(tokens) - known.keys():
+                known[t] = b"".join(bytes([CHAR_BYTES[c]]) if c in CHAR_BYTES else c.encode() for c in t)
+            return [b"".join(map(known.__getitem__, tokens)).decode("utf-8", "replace")]
+
+        return joined
     if kind == "ByteFallback":
         return _bytes_back
     if kind == "CTC":
