@@ -37,12 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+#: With it, the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor takes no part of it along."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared checkpoint folder, so that a lost executor takes no part of it along.
+
+    What was shuffled for it isn't read again, so its files go at once.
+    """
+    session = df.sparkSession
+    if not session.sparkContext.getCheckpointDir():
+        session.sparkContext.setCheckpointDir(shared_folder(session))
+    before = session.conf.get(CLEANUP)
+    session.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # select: a query takes the setting when it is made
+    finally:
+        session.conf.set(CLEANUP, before)
 
 
 def join_hot(rows: DataFrame, known: DataFrame, on: str | list[str], n: str, how: str = "inner") -> DataFrame:
