@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -143,14 +145,21 @@ def per_worker(use: str, token: str, make: Callable[[], object]) -> object:
     """The object made for a query's token; a worker that runs the query's next task has it still, with what it remembers."""
     known = _KEPT.get(use)
     if known is None or known[0] != token:
-        _KEPT.clear()  # one at a time: another query's memory goes
+        release()  # one at a time: another query's memory goes
         _KEPT[use] = known = (token, make())
     return known[1]
 
 
 def release() -> None:
-    """For tasks that keep nothing: what an earlier query left in the worker goes."""
+    """For tasks that keep nothing: what an earlier query left in the worker goes, back to the system too."""
+    if not _KEPT:
+        return
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
 
 
 def token() -> str:
