@@ -1,11 +1,15 @@
 """Near copies by the similarity of their texts: Jaccard of word shingles, at least 0.8 over five words by default.
 
-Candidates are texts that agree in all min-hashes of one of BANDS bands; the Jaccard similarity of their whole shingle sets
-then decides. Two texts at the least similarity s share no band with a chance of (1 - s ** WIDTH) ** BANDS, here 5e-8; more
-similar ones with less.
+Candidates are texts whose SimHash fingerprints (64 bits over the distinct shingles) meet in a cell of simhash's grids over
+segment counts and differ in REACH bits at most: all within LEFT bits do, and many others. The Jaccard similarity of their
+whole shingle sets then decides.
+
+No reach of 64 bits holds all texts of similarity 0.8 (they differ in 10 bits on average, in 22 at most of those measured), so the links that
+fingerprints can't show are sought among the components they leave: by texts that agree in all min-hashes of one of BANDS bands. Two texts at the
+least similarity s share no band with a chance of (1 - s ** WIDTH) ** BANDS, here 5e-8; more similar ones with less.
 
 Texts with the same words are one class from the start. In each cell of a band, every class is first compared with one
-leader, another for each cell. Where a cell's other classes are in more than one component then, they are compared across
+leader of another component, another for each cell. Where a cell's other classes are in more than one component then, they are compared across
 components, in blocks, so that no link is missed, no pair is a row, and families that a leader links aren't compared in full. A
 large family of which few are alike enough (many texts of similarity 0.5 to 0.8) is: its comparisons grow with the square of
 its size, what is shuffled with that of its number of blocks.
@@ -26,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, simhash
 
 WORDS, LEAST = 5, 0.8
+#: Groups of axes, how many of them a grid leaves out, and bits in which compared fingerprints differ at most.
+GROUPS, LEFT, REACH = 8, 4, 12
 BANDS, WIDTH = 32, 4
 SEED = 42
 #: Members of a cell that meet as many others in one task.
@@ -47,6 +53,15 @@ def shingles(found: list[bytes], words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())), np.uint64, len(starts)))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """Signed: bit j is set if more than half of the shingles have it."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):  # a very long text block by block
+        total += simhash.ones(found[at : at + (1 << 16)])
+    bits = simhash.majority(total, len(found))
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
@@ -86,6 +101,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return common.arrow_map(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), "a binary, b binary", start)
 
 
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (cls, fp) whose fingerprints are near: of equal ones the smallest class stands for all."""
+    known = classes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("cls").alias("rep"), F.count("*").alias("n"))
+    known = common.cut(known)
+    same = common.join_hot(classes.select("cls", "fp"), known.where("n > 1"), "fp", "n").where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    met = simhash.near(known.select("fp"), GROUPS, LEFT, REACH)
+    one, other = known.select(F.col("fp").alias("a"), F.col("rep").alias("x")), known.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    met = met.join(one, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(met)
+
+
 def _across(open_: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) between components of a cell, given the members (cell, cls, component): as many as join what is alike.
 
@@ -145,40 +171,48 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
         cells = Bands(bands, width)
 
         def each(batch):
-            names, found = [], []
+            names, prints, found = [], [], []
             for text in batch.column(3):  # one text's words at a time
                 own = _words(text.as_py())
                 names.append(xxhash.xxh3_128_digest(b" ".join(own)))
                 # a text without words is in no cell: its class is all of its component
-                found.append(cells(shingles(own, words)) if own else [])
+                own = shingles(own, words)
+                prints.append(fingerprint(own) if len(own) else None)
+                found.append(cells(own) if len(own) else [])
             return {
                 "key": batch.column(0), common.DIGEST[0]: batch.column(1), common.DIGEST[1]: batch.column(2),
-                "cls": pa.array(names, pa.binary()), "cells": pa.array(found, pa.list_(pa.int64())),
+                "cls": pa.array(names, pa.binary()), "fp": pa.array(prints, pa.int64()), "cells": pa.array(found, pa.list_(pa.int64())),
             }
 
         return each
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(df[key].alias("key"), *common.digests(df[key], df[text]), df[text].alias("text"))
-    rows = common.cut(common.arrow_map(rows, f"key {kind}, {common.DIGEST[0]} long, {common.DIGEST[1]} int, cls binary, cells array<long>", start))
+    rows = common.cut(common.arrow_map(rows, f"key {kind}, {common.DIGEST[0]} long, {common.DIGEST[1]} int, cls binary, fp long, cells array<long>", start))
     # equal rows first, so that the first row of a class comes with its number
-    once = rows.groupBy("cls", F.isnull("key").alias("without"), "key", *common.DIGEST).agg(F.count("*").alias("n"), F.first("cells").alias("cells"))
+    once = rows.groupBy("cls", F.isnull("key").alias("without"), "key", *common.DIGEST).agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("cells").alias("cells"))
     first = F.min(F.struct("without", "key", *common.DIGEST, "n")).alias("row")
-    classes = common.cut(once.groupBy("cls").agg(first, F.first("cells").alias("cells")))
+    classes = common.cut(once.groupBy("cls").agg(first, F.first("fp").alias("fp"), F.first("cells").alias("cells")))
+    close = common.cut(_fingerprint_pairs(classes))
     member = classes.select("cls", F.explode("cells").alias("cell"))
     sizes = member.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls", "cell").alias("h"), "cls")).alias("leader")).where("n > 1")
     shared = common.cut(common.join_hot(member, common.cut(sizes.select("cell", "n", F.col("leader.cls").alias("leader"))), "cell", "n"))
-    pairs = common.cut(shared.where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct())
-    needed = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", "row.*")
+    compared = shared.select("cls").unionByName(close.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
+    needed = classes.join(compared, "cls", "left_semi").select("cls", "row.*")
     needed = common.cut(needed.select("cls", *common.DIGEST, "n"))
     whole = df.select(df[key].alias("__k"), df[text].alias("text"))
     texts = common.cut(common.chosen_rows(whole, needed, "n", F.col("__k"), F.col("text")).select("cls", "text"))
-    edges = common.cut(_verified(pairs, texts, words, least))
+    edges = common.cut(_verified(close, texts, words, least))
     roots = common.cut(simhash.components(edges))
 
-    def root(rows: DataFrame) -> DataFrame:
-        return rows.join(roots, rows["cls"] == roots["node"], "left").withColumn("component", F.coalesce("root", "cls")).drop("node", "root")
+    def root(rows: DataFrame, cls: str = "cls", component: str = "component") -> DataFrame:
+        return rows.join(roots, rows[cls] == roots["node"], "left").withColumn(component, F.coalesce("root", cls)).drop("node", "root")
 
+    # the rest, which fingerprints don't show: what shares a band with a leader that isn't of its component yet
+    rest = shared.where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    rest = common.cut(root(root(rest, "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b"))
+    edges = common.cut(edges.unionByName(_verified(rest, texts, words, least)))
+    roots = common.cut(simhash.components(edges))
     # cells that still hold several components: all members across components, but for leaders, which have met all members
     open_ = root(shared.where("cls <> leader").select("cell", "cls"))
     more = common.cut(_across(open_, texts, words, least))

@@ -11,6 +11,8 @@ paired out: there each member is sent to the 65 fingerprints within one bit of i
 one of these, all that meet there are within two bits, and at most 65 can meet, so that a star at each is exact and
 grows with the number of members only.
 
+`near` joins at a larger distance by grids that leave out more groups, for callers that verify pairs otherwise.
+
 Rows of equal fingerprints are one class from the start. Components come from large-star/small-star rounds over class
 representatives, each round cut in the shared checkpoint folder.
 
@@ -21,6 +23,7 @@ tables give empty ones. Other columns aren't read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,10 +38,21 @@ WORDS = 3
 #: Members of a cell that are paired; more take the exact way over shared neighbours.
 CELL = 32
 GROUPS, DISTANCE = 6, 2
+#: Rows of cells that `near` reads at a time.
+CHUNK = 1 << 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EVEN = 0x5555555555555555
 
 
+def ones(digests: np.ndarray) -> np.ndarray:
+    """How many of the digests have each bit."""
+    return np.unpackbits(digests.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Unsigned: bit j is set if more than half of the shingles' XXH64 have it."""
     found = (text or "").encode().translate(_LOWER).split()
@@ -51,8 +65,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), 1 << 16):  # a very long text block by block
         block = [digest(line[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at + width - 1 : at + width - 1 + (1 << 16)].tolist())]
-        total += np.unpackbits(np.array(block, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
+        total += ones(np.array(block, "<u8"))
+    return majority(total, len(starts))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,10 +93,11 @@ def embedded(fp: str = "fp") -> F.Column:
     return low.bitwiseOR(high)
 
 
-def _masks() -> list[int]:
-    axes = np.array_split(np.arange(32), GROUPS)
+def _masks(groups: int = GROUPS, left: int = DISTANCE) -> list[int]:
+    """A mask over the embedding for each grid that leaves out `left` of the groups of axes."""
+    axes = np.array_split(np.arange(32), groups)
     masks = []
-    for kept in combinations(range(GROUPS), GROUPS - DISTANCE):
+    for kept in combinations(range(groups), groups - left):
         bits = sum(3 << (2 * int(a)) for g in kept for a in axes[g])
         masks.append(bits - (1 << 64) if bits >> 63 else bits)
     return masks
@@ -117,6 +132,87 @@ def links(classes: DataFrame) -> DataFrame:
     return near.unionByName(stars).distinct()
 
 
+def _meeting(cell: np.ndarray, fp: np.ndarray, reach: int, first: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints within reach bits in rows sorted by cell and fp; all of a cell, but of a crowded one with its first.
+
+    first: that of the first row's cell, if it is crowded and began before these rows.
+    """
+    begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    size = np.diff(np.r_[begins, len(cell)])
+    lead, n = np.repeat(begins, size), np.repeat(size, size)
+    star = np.flatnonzero((n > CELL) & (lead < np.arange(len(cell))))
+    one, two = [fp[lead[star]]], [fp[star]]
+    if first is not None:  # the whole cell goes to what came before
+        star = star[star >= size[0]]
+        one, two = [np.full(size[0], first, np.int64), fp[lead[star]]], [fp[: size[0]], fp[star]]
+    few = np.flatnonzero((n <= CELL) & ((lead > 0) | (first is None)))
+    for step in range(1, min(CELL, int(size.max()))):
+        at = few[few + step < len(cell)]
+        at = at[lead[at] == lead[at + step]]
+        if not len(at):
+            break
+        one.append(fp[at])
+        two.append(fp[at + step])
+    a, b = np.concatenate(one), np.concatenate(two)
+    close = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= reach
+    return a[close], b[close]
+
+
+def near(known: DataFrame, groups: int, left: int, reach: int) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints (fp) that share a cell of a grid and differ in `reach` bits at most.
+
+    All within `left` bits share one, but in a crowded cell (more than CELL members) only its smallest is paired with the others.
+    """
+    masks = np.array(_masks(groups, left), np.int64).view(np.uint64)
+
+    def start():
+        # a digest of grid and cell: what collides is told apart by its bits
+        factor = np.random.default_rng(SEED).integers(0, 1 << 63, len(masks), np.uint64) * np.uint64(2) + np.uint64(1)
+
+        def each(batch):
+            x = batch.column(0).to_numpy().view(np.uint64)
+            half = x >> np.uint64(1)
+            counts = ((x | half) & np.uint64(_EVEN)) | ((x & half & np.uint64(_EVEN)) << np.uint64(1))
+            cell = ((counts & masks[:, None]) + np.uint64(1)) * factor[:, None]
+            cell = (cell ^ (cell >> np.uint64(32))) * factor[::-1, None]
+            return {"cell": cell.ravel().view(np.int64), "fp": np.tile(batch.column(0).to_numpy(), len(masks))}
+
+        return each
+
+    cells = common.arrow_map(known, "cell long, fp long", start).repartition("cell").sortWithinPartitions("cell", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, fp, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # rows of a cell that may go on; its first, if crowded
+
+        def found(end: int):
+            a, b = _meeting(cell[:end], fp[:end], reach, first) if end else (fp[:0], fp[:0])
+            return pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+        parts, rows = [], 0
+        for batch in batches:
+            parts.append(batch)
+            rows += batch.num_rows
+            if rows < CHUNK:
+                continue
+            cell = np.concatenate([cell, *(p.column(0).to_numpy() for p in parts)])
+            fp = np.concatenate([fp, *(p.column(1).to_numpy() for p in parts)])
+            parts, rows = [], 0
+            last = int(np.searchsorted(cell, cell[-1]))  # where the last cell begins
+            crowded = len(cell) - last > CELL
+            yield found(len(cell) if crowded else last)
+            if crowded:
+                # one row stays, to tell the cell by
+                first = first if first is not None and last == 0 else int(fp[last])
+                cell, fp = cell[-1:], fp[-1:]
+            else:
+                cell, fp, first = cell[last:], fp[last:], first if last == 0 else None
+        cell = np.concatenate([cell, *(p.column(0).to_numpy() for p in parts)])
+        fp = np.concatenate([fp, *(p.column(1).to_numpy() for p in parts)])
+        yield found(len(cell))
+
+    return cells.mapInArrow(run, "a long, b long").where("a < b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for the nodes of edges (a, b), a < b, that aren't roots themselves."""
 
