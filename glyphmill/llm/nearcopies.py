@@ -2,15 +2,16 @@
 
 Candidates are texts whose SimHash fingerprints (64 bits over the distinct shingles) meet in a cell of simhash's grids over
 segment counts and differ in REACH bits at most: all within LEFT bits do, and many others. The Jaccard similarity of their
-whole shingle sets then decides.
+whole shingle sets then decides. Each is first compared with the smallest fingerprint of its cells, so that pairs grow with a
+family's size and not with its square; others of a cell that this leaves in more than one component meet in blocks, below.
 
 No reach of 64 bits holds all texts of similarity 0.8 (they differ in 10 bits on average, in 22 at most of those measured), so the links that
 fingerprints can't show are sought among the components they leave: by texts that agree in all min-hashes of one of BANDS bands. Two texts at the
 least similarity s share no band with a chance of (1 - s ** WIDTH) ** BANDS, here 5e-8; more similar ones with less.
 
 Texts with the same words are one class from the start. In each cell of a band, every class is first compared with one
-leader of another component, another for each cell. Where a cell's other classes are in more than one component then, they are compared across
-components, in blocks, so that no link is missed, no pair is a row, and families that a leader links aren't compared in full. A
+leader of another component, another for each cell. Where other classes of a cell, of a grid or a band, are in more than one component then, they
+are compared across components, in blocks, so that no link is missed, no pair is a row, and families that a leader links aren't compared in full. A
 large family of which few are alike enough (many texts of similarity 0.5 to 0.8) is: its comparisons grow with the square of
 its size, what is shuffled with that of its number of blocks.
 
@@ -101,15 +102,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return common.arrow_map(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y"), "a binary, b binary", start)
 
 
-def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes (cls, fp) whose fingerprints are near: of equal ones the smallest class stands for all."""
+def _fingerprint_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of classes (cls, fp): pairs (a, b) to compare first, and the members (cell, cls) of cells that may hold further near ones.
+
+    In the grids the smallest class stands for all of equal fingerprints. These are a cell of their own.
+    """
     known = classes.where("fp IS NOT NULL").groupBy("fp").agg(F.min("cls").alias("rep"), F.count("*").alias("n"))
     known = common.cut(known)
     same = common.join_hot(classes.select("cls", "fp"), known.where("n > 1"), "fp", "n").where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
-    met = simhash.near(known.select("fp"), GROUPS, LEFT, REACH)
+    same = common.cut(same)
+    met = common.cut(simhash.stars(known.select("fp"), GROUPS, LEFT, REACH))
     one, other = known.select(F.col("fp").alias("a"), F.col("rep").alias("x")), known.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-    met = met.join(one, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return same.unionByName(met)
+    close = met.where("close").select("a", "b").distinct().join(one, "a").join(other, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    cells = met.where("open").select("cell", "b").join(other, "b").select("cell", F.col("y").alias("cls"))
+    return same.unionByName(close), cells.unionByName(same.select(F.xxhash64("a").alias("cell"), F.col("b").alias("cls")))
 
 
 def _across(open_: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -193,11 +199,11 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     once = rows.groupBy("cls", F.isnull("key").alias("without"), "key", *common.DIGEST).agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("cells").alias("cells"))
     first = F.min(F.struct("without", "key", *common.DIGEST, "n")).alias("row")
     classes = common.cut(once.groupBy("cls").agg(first, F.first("fp").alias("fp"), F.first("cells").alias("cells")))
-    close = common.cut(_fingerprint_pairs(classes))
+    close, cells = map(common.cut, _fingerprint_pairs(classes))
     member = classes.select("cls", F.explode("cells").alias("cell"))
     sizes = member.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls", "cell").alias("h"), "cls")).alias("leader")).where("n > 1")
     shared = common.cut(common.join_hot(member, common.cut(sizes.select("cell", "n", F.col("leader.cls").alias("leader"))), "cell", "n"))
-    compared = shared.select("cls").unionByName(close.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
+    compared = shared.select("cls").unionByName(close.select(F.explode(F.array("a", "b")).alias("cls"))).unionByName(cells.select("cls")).distinct()
     needed = classes.join(compared, "cls", "left_semi").select("cls", "row.*")
     needed = common.cut(needed.select("cls", *common.DIGEST, "n"))
     whole = df.select(df[key].alias("__k"), df[text].alias("text"))
@@ -213,8 +219,8 @@ def classes_of(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     rest = common.cut(root(root(rest, "a", "of_a"), "b", "of_b").where("of_a <> of_b").select("a", "b"))
     edges = common.cut(edges.unionByName(_verified(rest, texts, words, least)))
     roots = common.cut(simhash.components(edges))
-    # cells that still hold several components: all members across components, but for leaders, which have met all members
-    open_ = root(shared.where("cls <> leader").select("cell", "cls"))
+    # cells that still hold several components: all members across components, but for leaders, which have met all members (in grids, those near them)
+    open_ = root(shared.where("cls <> leader").select("cell", "cls").unionByName(cells))
     more = common.cut(_across(open_, texts, words, least))
     if not more.isEmpty():
         roots = common.cut(simhash.components(edges.unionByName(more)))

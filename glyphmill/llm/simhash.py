@@ -11,7 +11,7 @@ paired out: there each member is sent to the 65 fingerprints within one bit of i
 one of these, all that meet there are within two bits, and at most 65 can meet, so that a star at each is exact and
 grows with the number of members only.
 
-`near` joins at a larger distance by grids that leave out more groups, for callers that verify pairs otherwise.
+`near` and `stars` join at a larger distance by grids that leave out more groups, for callers that verify pairs otherwise.
 
 Rows of equal fingerprints are one class from the start. Components come from large-star/small-star rounds over class
 representatives, each round cut in the shared checkpoint folder.
@@ -23,7 +23,7 @@ tables give empty ones. Other columns aren't read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,7 +38,7 @@ WORDS = 3
 #: Members of a cell that are paired; more take the exact way over shared neighbours.
 CELL = 32
 GROUPS, DISTANCE = 6, 2
-#: Rows of cells that `near` reads at a time.
+#: Rows of cells that `near` and `stars` read at a time.
 CHUNK = 1 << 17
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EVEN = 0x5555555555555555
@@ -158,11 +158,58 @@ def _meeting(cell: np.ndarray, fp: np.ndarray, reach: int, first: int | None) ->
     return a[close], b[close]
 
 
+def _starred(cell: np.ndarray, fp: np.ndarray, reach: int, first: int | None) -> dict[str, np.ndarray]:
+    """Of rows sorted by cell and fp, all but the first of each cell, as `stars` returns them.
+
+    first: that of the first row's cell, if it is crowded and began before these rows; the first row is one of before then.
+    """
+    begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    size = np.diff(np.r_[begins, len(cell)])
+    lead, crowded = np.repeat(begins, size), np.repeat(size > CELL, size)
+    a, other = fp[lead], lead < np.arange(len(cell))
+    if first is not None:
+        a[: size[0]], crowded[: size[0]] = first, True
+    open_, few = crowded.copy(), np.flatnonzero(other & ~crowded)
+    for step in range(1, min(CELL, int(size.max()))):
+        at = few[few + step < len(cell)]
+        at = at[lead[at] == lead[at + step]]
+        if not len(at):
+            break
+        at = at[np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) <= reach]
+        open_[at] = open_[at + step] = True
+    close = np.bitwise_count(a.view(np.uint64) ^ fp.view(np.uint64)) <= reach
+    kept = other & (close | open_)
+    return {"cell": cell[kept], "a": a[kept], "b": fp[kept], "close": close[kept], "open": open_[kept]}
+
+
 def near(known: DataFrame, groups: int, left: int, reach: int) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints (fp) that share a cell of a grid and differ in `reach` bits at most.
 
     All within `left` bits share one, but in a crowded cell (more than CELL members) only its smallest is paired with the others.
     """
+
+    def found(cell, fp, first):
+        a, b = _meeting(cell, fp, reach, first) if len(cell) else (fp, fp)
+        return {"a": a, "b": b}
+
+    return _by_cells(known, groups, left, found, "a long, b long").where("a < b").distinct()
+
+
+def stars(known: DataFrame, groups: int, left: int, reach: int) -> DataFrame:
+    """Members (cell, a, b, close, open) of the grids' cells: b with the smallest fingerprint a of its cell, never more rows than members.
+
+    close: a and b differ in `reach` bits at most. open: others than a may be as near to b, so that the open members of a cell are yet to
+    be compared; all of a crowded cell are. A member that is neither has no row. Pairs within `left` bits share a cell.
+    """
+
+    def found(cell, fp, first):
+        return _starred(cell, fp, reach, first) if len(cell) else {"cell": cell, "a": fp, "b": fp, "close": fp > 0, "open": fp > 0}
+
+    return _by_cells(known, groups, left, found, "cell long, a long, b long, close boolean, open boolean")
+
+
+def _by_cells(known: DataFrame, groups: int, left: int, found: Callable[[np.ndarray, np.ndarray, int | None], dict], schema: str) -> DataFrame:
+    """What found(cell, fp, first) gives for the cells of the grids, sorted; a cell of CELL members at most comes in one call."""
     masks = np.array(_masks(groups, left), np.int64).view(np.uint64)
 
     def start():
@@ -184,9 +231,8 @@ def near(known: DataFrame, groups: int, left: int, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, fp, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # rows of a cell that may go on; its first, if crowded
 
-        def found(end: int):
-            a, b = _meeting(cell[:end], fp[:end], reach, first) if end else (fp[:0], fp[:0])
-            return pa.RecordBatch.from_pydict({"a": a, "b": b})
+        def some(end: int):
+            return pa.RecordBatch.from_pydict(found(cell[:end], fp[:end], first))
 
         parts, rows = [], 0
         for batch in batches:
@@ -199,7 +245,7 @@ def near(known: DataFrame, groups: int, left: int, reach: int) -> DataFrame:
             parts, rows = [], 0
             last = int(np.searchsorted(cell, cell[-1]))  # where the last cell begins
             crowded = len(cell) - last > CELL
-            yield found(len(cell) if crowded else last)
+            yield some(len(cell) if crowded else last)
             if crowded:
                 # one row stays, to tell the cell by
                 first = first if first is not None and last == 0 else int(fp[last])
@@ -208,9 +254,9 @@ def near(known: DataFrame, groups: int, left: int, reach: int) -> DataFrame:
                 cell, fp, first = cell[last:], fp[last:], first if last == 0 else None
         cell = np.concatenate([cell, *(p.column(0).to_numpy() for p in parts)])
         fp = np.concatenate([fp, *(p.column(1).to_numpy() for p in parts)])
-        yield found(len(cell))
+        yield some(len(cell))
 
-    return cells.mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return cells.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
