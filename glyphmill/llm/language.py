@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ LONGEST, LANGUAGES = 200_000, 200
 CELLS = 1 << 18
 #: Words that a worker remembers.
 WORDS = 700_000
+#: Words whose scores are plain floats at a time.
+BLOCK = 4096
+#: Forms whose n-grams are looked up together.
+FORMS = 1024
 #: What a change of language costs, in units of log likelihood; a word of up to LETTERS letters counts LEAST at most against
 #: a language, a longer one more in proportion.
 SWITCH, LEAST, LETTERS = 14.0, 6.0, 12
@@ -122,24 +127,53 @@ class Labeller:
         self.sums, self.grams = np.zeros((1024, n), np.float32), np.zeros(1024, np.int32)
         # forms with other marks share the row of their letters
         self.forms = common.Memo(self._row, words)
-        self.memo = common.Memo(lambda word: self.forms[_letters(word)], words)
+        self.memo = common.Memo(lambda word: self.forms[_letters(word)], words)  # by `numbers`, as a rule
 
     def _row(self, letters: str) -> int:
-        i = len(self.forms)
-        if i >= len(self.rows):
+        return self._fill([letters])
+
+    def _fill(self, forms: list[str]) -> int:
+        """Rows for forms that have none, in their order; the number of the first."""
+        first, n = len(self.forms), len(forms)
+        while first + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
             self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
-        self.lengths[i], self.rows[i], self.sums[i], self.grams[i] = len(letters), 0, 0, 0
-        candidates = self.m.scripts.get(script(letters[0])) if letters else None
-        if candidates is not None:
-            found = _grams(letters)
-            cells = self.m.table[found].sum(axis=0, dtype=np.float64)
-            best, least = cells[candidates].max(), -LEAST * max(1.0, len(letters) / LETTERS)
-            self.rows[i] = np.where(candidates, np.maximum((cells - best) / 2, least), least)
-            self.sums[i], self.grams[i] = cells, len(found)
-        return i
+        for own in (self.rows, self.sums, self.grams):
+            own[first : first + n] = 0
+        self.lengths[first : first + n] = list(map(len, forms))
+        kinds: dict[str, list[int]] = {}
+        for j, letters in enumerate(forms):
+            if letters:
+                kinds.setdefault(script(letters[0]), []).append(j)
+        for name, own in kinds.items():
+            candidates = self.m.scripts.get(name)
+            if candidates is None:
+                continue
+            found = [_grams(forms[j]) for j in own]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            cells = np.add.reduceat(self.m.table[flat], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+            at = np.array(own) + first
+            best = cells[:, candidates].max(axis=1, keepdims=True)
+            least = -LEAST * np.maximum(1.0, self.lengths[at, None] / LETTERS)
+            self.rows[at] = np.where(candidates, np.maximum((cells - best) / 2, least), least)
+            self.sums[at], self.grams[at] = cells, sizes
+        return first
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The row of each word. Forms that are new get theirs together, some at a time."""
+        found = list(map(self.memo.get, words))
+        if None in found:
+            new = {w: _letters(w) for w, row in zip(words, found) if row is None}
+            forms = [w for w in dict.fromkeys(new.values()) if w not in self.forms]
+            for start in range(0, len(forms), FORMS):
+                some = forms[start : start + FORMS]
+                self.forms.update(zip(some, count(self._fill(some))))
+            self.memo.update((w, self.forms[letters]) for w, letters in new.items())
+            found = list(map(self.memo.get, words))
+        return np.array(found, np.int64)
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each word on the best path."""
@@ -153,25 +187,34 @@ class Labeller:
         run = np.cumsum(gain.max(axis=1) - scores[:, one])
         if (run - np.minimum.accumulate(np.concatenate(([0.0], run[:-1])))).max() <= SWITCH:
             return np.full(len(scores), one)
-        came = np.zeros(scores.shape, np.int64)
-        best, own = scores[0].copy(), np.arange(scores.shape[1])
-        for t in range(1, len(scores)):
-            top = int(best.argmax())
-            stay = best >= best[top] - SWITCH
-            came[t] = np.where(stay, own, top)
-            best = np.where(stay, best, best[top] - SWITCH) + scores[t]
+        # plain floats, block by block: arrays of a few languages cost more than what is done with them
+        best, gains = scores[0].tolist(), np.empty(scores.shape)
+        gains[0] = best
+        for start in range(1, len(scores), BLOCK):
+            rows = []
+            for row in scores[start : start + BLOCK].tolist():
+                low = max(best) - SWITCH
+                best = [(x if x >= low else low) + y for x, y in zip(best, row)]
+                rows.append(best)
+            gains[start : start + BLOCK] = rows
+        top = gains.argmax(axis=1)
+        # the last word up to each after which a language's path comes from the best one
+        left = np.where(gains >= gains.max(axis=1, keepdims=True) - SWITCH, -1, np.arange(len(gains))[:, None])
+        left = np.maximum.accumulate(left, axis=0)
         out = np.empty(len(scores), np.int64)
-        at = int(best.argmax())
-        for t in range(len(scores) - 1, -1, -1):
-            out[t] = at
-            at = int(came[t, at])
+        t = len(scores) - 1
+        at = int(top[t])
+        while t >= 0:
+            before = int(left[t - 1, at]) if t else -1
+            out[before + 1 : t + 1] = at
+            t, at = before, int(top[before])
         return out
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
         """Label, score and spans (first word, word after the last, label); spans hold words with letters only."""
         if self.memo.fresh():
             self.forms.clear()
-        words = np.fromiter(map(self.memo.__getitem__, text.lower().split()), np.int64) if text else np.zeros(0, np.int64)
+        words = self.numbers(text.lower().split()) if text else np.zeros(0, np.int64)
         lengths = self.lengths[words]
         at = np.flatnonzero(lengths)
         if not len(at) or not self.m.languages:
