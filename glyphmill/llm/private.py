@@ -20,6 +20,7 @@ link documents within the run only and nobody can undo them.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import secrets
@@ -44,9 +45,9 @@ _PATTERN = re.compile(
     r"""(?P<secret>(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)["']?\s{0,8}[=:]\s{0,8}["']?)(?P<value>[A-Za-z0-9+/_\-]{12,})|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9A-F]{64})\b))"""
     r"""|(?P<email>(?<![\w.%+-])[\w.%+-]++@[\w-]++(?:\.[\w-]++)+)"""
     r"""|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"""
-    r"""|(?P<phone>(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9]|\.[0-9])|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[-. ][0-9]{4}(?![0-9]))"""
+    r"""|(?P<phone>(?<![\w+./-])[0-9]{3}(?P<mark>[.-])[0-9]{3}(?P=mark)[0-9]{4}(?![\w]|[.-][0-9])|(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9]|\.[0-9])|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}[-. ][0-9]{4}(?![0-9]))"""
     r"""|(?P<ipv4>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"""
-    r"""|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9]))"""
+    r"""|(?P<date>(?<![0-9./-])(?:[0-9]{4}(?:-[0-9]{2}-[0-9]{2}|/[0-9]{1,2}/[0-9]{1,2})|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9]))"""
     r"""|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"""
     r"""|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9]))"""
 )
@@ -96,8 +97,19 @@ def _luhn_digit(head: str) -> int:
     return -total % 10
 
 
+@functools.lru_cache(1 << 16)
+def _group(text: str) -> tuple[int, int]:
+    """What a group of an IBAN adds, and by what it moves those before it; a text full of groups has each read by several attempts."""
+    digits = "".join(str(int(c, 36)) for c in text)
+    return int(digits), 10 ** len(digits) % 97
+
+
 def _mod97(iban: str) -> int:
-    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+    rest, turned = 0, iban[4:] + iban[:4]
+    for at in range(0, len(turned), 4):
+        value, power = _group(turned[at : at + 4])
+        rest = (rest * power + value) % 97
+    return rest
 
 
 class Pseudonyms:
@@ -166,7 +178,7 @@ class Pseudonyms:
 
     def date(self, text: str) -> str | None:
         parts = re.split(r"[-/.]", text)
-        iso = "-" in text
+        iso = len(parts[0]) == 4  # year first
         year, month, day = (int(p) for p in (parts if iso else parts[::-1]))
         swapped = not iso and "/" in text and month > 12
         if swapped:
@@ -234,8 +246,9 @@ class Pseudonyms:
                 parts += [text[at:start], new]
                 found.append((kind, start, end))
                 at = end
-            # what isn't a value of its kind may hold one of another
-            m = _PATTERN.search(text, end if new is not None else m.start() + 1)
+            # what isn't a value of its kind may hold one of another, but nothing begins within the head of an IBAN
+            head = 1 if kind != "iban" else 5 if text[start + 4] == " " else 2
+            m = _PATTERN.search(text, end if new is not None else m.start() + head)
         return ("".join([*parts, text[at:]]) if found else text), found
 
 

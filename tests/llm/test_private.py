@@ -16,7 +16,7 @@ def _new(text):
 
 
 def test_forms_of_a_telephone_number():
-    forms = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1.555.123.4567", "(555) 123-4567"]
+    forms = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1.555.123.4567", "(555) 123-4567", "555-123-4567", "555.123.4567"]
     own = {re.sub("[^0-9]", "", _new(f))[-10:] for f in forms}
     assert len(own) == 1 and own != {"5551234567"} and all(len(_new(f)) == len(f) for f in forms)
     assert _new("+49 30 123 4567")[:4] == "+49 " and re.sub("[^0-9]", "", _new("+49 30 123 4567")) == _new("+49301234567")[1:]
@@ -27,11 +27,19 @@ def test_forms_of_a_date():
         d = date(1910, 1, 1) + timedelta(k)
         iso = _new(d.isoformat())
         y, m, day = iso.split("-")
+        assert _new(f"{d.year}/{d.month:02d}/{d.day:02d}") == f"{y}/{m}/{day}" and _new(f"{d.year}/{d.month}/{d.day}") == f"{y}/{int(m)}/{int(day)}"
         assert _new(f"{d.day:02d}/{d.month:02d}/{d.year}") == f"{day}/{m}/{y}" and _new(f"{d.day}.{d.month}.{d.year}") == f"{int(day)}.{int(m)}.{y}"
         if d.day > 12:
             assert _new(f"{d.month:02d}/{d.day:02d}/{d.year}") == f"{m}/{day}/{y}"
 
 
+def test_ibans_are_checked_group_by_group():
+    for iban in ("GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606"):
+        spaced = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+        assert _new(spaced).replace(" ", "") == _new(iban) != iban and private._mod97(_new(iban)) == 1
+        assert private._mod97(iban) == int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def test_different_values_stay_different():
     dates = [(date(1999, 1, 1) + timedelta(k)).isoformat() for k in range(3000)]
     assert len({_new(d) for d in dates}) == 3000
