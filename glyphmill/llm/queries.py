@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classify, language, neighbours, packing, private, quality, sentencepiece, simhash, wrappers
+from . import classify, codebooks, globs, interactions, language, neighbours, packing, private, quality, sentencepiece, simhash, wrappers
 from .common import fold, table
 
 PIECES = os.environ.get("GLYPHMILL_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
@@ -62,9 +62,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return globs.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality.ORACLE_SQL}
+    return {"op8_quality_rules": quality.ORACLE_SQL, "op11_filter_interactions": interactions.ORACLE_SQL, "op12_url_globs": globs.ORACLE_SQL, "op13_vector_codes": codebooks.ORACLE_SQL}
