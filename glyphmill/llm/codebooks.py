@@ -12,7 +12,7 @@ fewer vectors. Ties of distance go to the lower index, quotients are rounded dow
 Vectors that are null or hold null or non-finite components take no part and have no row. The length is that of the vector with
 the smallest id; vectors of another length, or all if it can't be cut into PARTS equal parts, have a row with null code and
 error. Where numbers may exceed 64 bits (components over 2^28 / SCALE, or very many rows of large ones) whole Python integers are
-added instead, slowly; an error beyond a long is null. Repeated rows count as often as they come. Empty tables give empty
+added instead, slowly; an error beyond a long is null, and so is that of its label. Repeated rows count as often as they come. Empty tables give empty
 results. Other columns stay; those with the names of the new ones are replaced.
 """
 
@@ -172,7 +172,8 @@ def compress(df: DataFrame, vector: str = "embedding", key: str = "vec_id", labe
     books = fit(df, vector, key)
     coded = common.cut(encode(df.drop("label_error", "codebooks_sha256"), books, vector))
     rows = coded.withColumns({"__none": F.col(label).isNull(), "__label": F.coalesce(F.col(label).cast("string"), F.lit(""))})
-    sums = rows.groupBy("__none", "__label").agg(F.try_sum(F.col("error").cast("decimal(38,0)")).alias("e"), F.count("*").alias("__n"))
+    known = F.when(~F.bool_or(F.col("code").isNotNull() & F.col("error").isNull()), F.try_sum(F.col("error").cast("decimal(38,0)")))
+    sums = rows.groupBy("__none", "__label").agg(known.alias("e"), F.count("*").alias("__n"))
     totals = common.cut(sums.select("__none", "__label", F.expr("try_cast(e AS long)").alias("label_error"), "__n"))
     told = common.join_hot(rows, totals, ["__none", "__label"], "__n").drop("__none", "__label", "__n")
     return told.withColumn("codebooks_sha256", F.lit(books.sha256() if books else None).cast("string"))
