@@ -10,77 +10,22 @@ import json
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 import pyarrow as pa
 
+from .template_syntax import Node, TemplateError, parse
+
 RESERVED = ("messages", "add_generation_prompt", "bos_token", "eos_token")
 DEPTH, LOOPS = 64, 1_000_000
 
 
-class TemplateError(ValueError):
-    pass
-
-
 class _Undefined:
     def __repr__(self):
         return ""
 
 
 UNDEFINED = _Undefined()
-_TAGS = re.compile(r"\{\{-?|\{%-?|\{#-?")
-_STRINGS = r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|"
-_CLOSE = {"}}": re.compile(_STRINGS + r"\}\}"), "%}": re.compile(_STRINGS + "%}"), "#}": re.compile("#}")}
-_LEX = re.compile(r"\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<op>\*\*|//|==|!=|<=|>=|[-+*/%~<>=()\[\]{},.:|]))", re.S)
-
-
-def _blocks(source: str) -> list[tuple[str, str]]:
-    """(kind, content): text, expression, statement; with white space control, lstrip_blocks and trim_blocks."""
-    out, at, eat = [], 0, False
-    while True:
-        m = _TAGS.search(source, at)
-        end = None
-        if m:
-            close = {"{{": "}}", "{%": "%}", "{#": "#}"}[m[0][:2]]
-            # a closing tag within a string isn't one
-            end = next((x.start() for x in _CLOSE[close].finditer(source, m.end()) if x[0] == close), None)
-        text = source[at : m.start() if end is not None else len(source)]
-        if eat == "all":
-            text = text.lstrip()
-        elif eat == "line" and text[:1] == "\n":
-            text = text[1:]
-        if end is None:
-            out.append(("text", text))
-            return [b for b in out if b[1] or b[0] != "text"]
-        if m[0][-1] == "-":
-            text = text.rstrip()
-        elif m[0][:2] != "{{":
-            line = text.rpartition("\n")[2]
-            if not line.strip(" \t") and ("\n" in text or at == 0 or eat == "line"):
-                text = text[: len(text) - len(line)]
-        out.append(("text", text))
-        body = source[m.end() : end]
-        minus = body.endswith("-")
-        out.append(({"{{": "expression", "{%": "statement", "{#": "comment"}[m[0][:2]], body[: len(body) - minus].strip()))
-        at, eat = end + 2, "all" if minus else "line" if m[0][:2] != "{{" else False
-
-
-def _lex(text: str) -> list[tuple[str, str]]:
-    out, at = [], 0
-    while at < len(text.rstrip()):
-        m = _LEX.match(text, at)
-        if not m:
-            raise TemplateError(f"unexpected {text[at:at+10]!r}")
-        out.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-    return out
-
-
-_ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
-Node = Callable[["Run"], object]
-
-
 def truth(v) -> bool:
     return v is not UNDEFINED and v is not None and v != 0 and v != "" and v != [] and v != {} and v is not False
 
@@ -135,7 +80,9 @@ def _binary(op: str, a, b):
     if op == "~":
         return text_of(a) + text_of(b)
     if op == "in":
-        return b is not UNDEFINED and b is not None and (str(a) in b if isinstance(b, str) else any(_same(a, x) for x in b))
+        if isinstance(b, str):
+            return isinstance(a, str) and a in b
+        return isinstance(b, (list, dict)) and any(_same(a, x) for x in b)
     if op == "+":
         if number(a) and number(b):
             return a + b
@@ -186,10 +133,12 @@ def _split(v, sep=None, *_):
     return v.split(sep)
 
 
+# fixed values: what trimming takes away
+BLANKS = " \t\n\r"
 FILTERS: dict[str, Callable] = {
-    "trim": lambda v, *a: text_of(v).strip(), "length": lambda v, *a: _sized(v), "count": lambda v, *a: _sized(v),
+    "trim": lambda v, *a: text_of(v).strip(BLANKS), "length": lambda v, *a: _sized(v), "count": lambda v, *a: _sized(v),
     "default": lambda v, d="", *a: d if v is UNDEFINED or v is None else v, "d": lambda v, d="", *a: d if v is UNDEFINED or v is None else v,
-    "first": lambda v, *a: v[0] if v else UNDEFINED, "last": lambda v, *a: v[-1] if v else UNDEFINED,
+    "first": lambda v, *a: v[0] if isinstance(v, list) and v else UNDEFINED, "last": lambda v, *a: v[-1] if isinstance(v, list) and v else UNDEFINED,
     "upper": lambda v, *a: _bytewise(str.upper)(text_of(v)), "lower": lambda v, *a: _bytewise(str.lower)(text_of(v)),
     "title": lambda v, *a: re.sub(r"[A-Za-z]+", lambda m: m[0].capitalize(), text_of(v)), "join": lambda v, sep="", *a: sep.join(map(text_of, v)),
     "list": lambda v, *a: sorted(v) if isinstance(v, dict) else list(v), "int": lambda v, *a: int(float(v)) if re.fullmatch(r"-?\d+(\.\d+)?", text_of(v)) else 0,
@@ -198,7 +147,7 @@ FILTERS: dict[str, Callable] = {
     "dictsort": lambda v, case=False, *a: [[k, v[k]] for k in sorted(v, key=None if case is True else lambda k: k.lower())], "items": lambda v, *a: [[k, v[k]] for k in sorted(v)],
 }
 METHODS: dict[str, Callable] = {
-    "upper": lambda s: _bytewise(str.upper)(s), "lower": lambda s: _bytewise(str.lower)(s), "strip": lambda s, c=None: s.strip(c), "lstrip": lambda s, c=None: s.lstrip(c), "rstrip": lambda s, c=None: s.rstrip(c),
+    "upper": lambda s: _bytewise(str.upper)(s), "lower": lambda s: _bytewise(str.lower)(s), "strip": lambda s, c=BLANKS: s.strip(c), "lstrip": lambda s, c=BLANKS: s.lstrip(c), "rstrip": lambda s, c=BLANKS: s.rstrip(c),
     "split": _split, "replace": _replaced, "startswith": lambda s, p: s.startswith(p), "endswith": lambda s, p: s.endswith(p),
 }
 DICT_METHODS: dict[str, Callable] = {
@@ -206,384 +155,148 @@ DICT_METHODS: dict[str, Callable] = {
 }
 
 
-class _Expression:
-    """Recursive descent to closures; what follows a whole expression is ignored."""
-
-    def __init__(self, text: str):
-        self.t, self.i = _lex(text), 0
-
-    def peek(self, *values: str) -> bool:
-        return self.i < len(self.t) and self.t[self.i][0] != "str" and self.t[self.i][1] in values
-
-    def take(self, *values: str) -> bool:
-        if self.peek(*values):
-            self.i += 1
-            return True
-        return False
-
-    def need(self, value: str) -> None:
-        if not self.take(value):
-            raise TemplateError(f"{value!r} expected")
-
-    def name(self) -> str:
-        if self.i >= len(self.t) or self.t[self.i][0] != "name":
-            raise TemplateError("name expected")
-        self.i += 1
-        return self.t[self.i - 1][1]
-
-    def whole(self) -> Node:
-        value = self.either()
-        if self.take("if"):
-            when = self.either()
-            other = self.whole() if self.take("else") else lambda r: UNDEFINED
-            return lambda r: value(r) if truth(when(r)) else other(r)
-        return value
-
-    def either(self) -> Node:
-        a = self.both()
-        while self.take("or"):
-            a = (lambda x, y: lambda r: v if truth(v := x(r)) else y(r))(a, self.both())
-        return a
-
-    def both(self) -> Node:
-        a = self.negated()
-        while self.take("and"):
-            a = (lambda x, y: lambda r: y(r) if truth(v := x(r)) else v)(a, self.negated())
-        return a
-
-    def negated(self) -> Node:
-        if self.take("not"):
-            a = self.negated()
-            return lambda r: not truth(a(r))
-        return self.compared()
-
-    def compared(self) -> Node:
-        a = self.chain(("~",), lambda: self.chain(("+", "-"), lambda: self.chain(("*", "/", "//", "%"), self.signed)))
-        while True:
-            if self.peek("==", "!=", "<", ">", "<=", ">="):
-                op = self.t[self.i][1]
-                self.i += 1
-                b = self.chain(("~",), lambda: self.chain(("+", "-"), lambda: self.chain(("*", "/", "//", "%"), self.signed)))
-                a = (lambda o, x, y: lambda r: _binary(o, x(r), y(r)))(op, a, b)
-            elif self.peek("in") or self.peek("not") and self.i + 1 < len(self.t) and self.t[self.i + 1][1] == "in":
-                negated = self.take("not")
-                self.need("in")
-                b = self.chain(("~",), lambda: self.chain(("+", "-"), self.signed))
-                a = (lambda n, x, y: lambda r: _binary("in", x(r), y(r)) != n)(negated, a, b)
-            elif self.take("is"):
-                negated = self.take("not")
-                test = self.name()
-                known = TESTS.get(test.lower())
-                if known is None:
-                    raise TemplateError(f"unknown test {test}")
-                if self.take("("):
-                    self.arguments()
-                a = (lambda n, x, f: lambda r: f(x(r)) != n)(negated, a, known)
-            else:
-                return a
-
-    def chain(self, ops: tuple[str, ...], below: Callable[[], Node]) -> Node:
-        a = below()
-        while self.peek(*ops):
-            op = self.t[self.i][1]
-            self.i += 1
-            a = (lambda o, x, y: lambda r: _binary(o, x(r), y(r)))(op, a, below())
-        return a
-
-    def signed(self) -> Node:
-        if self.take("-"):
-            a = self.signed()
-            return lambda r: -a(r)
-        a = self.filtered()
-        if self.take("**"):
-            b = self.signed()
-            return lambda r: _binary("**", a(r), b(r))
-        return a
-
-    def filtered(self) -> Node:
-        a = self.postfix()
-        while self.take("|"):
-            name = self.name()
-            args, named = self.arguments() if self.take("(") else ([], {})
-            a = self.filter(name, a, args, named)
-        return a
-
-    def filter(self, name: str, a: Node, args: list[Node], named: dict[str, Node]) -> Node:
-        if name == "map":
-            if "attribute" in named:
-                return lambda r: [_attribute(x, named["attribute"](r)) for x in a(r)]
-            return lambda r: [FILTERS.get(args[0](r), lambda v: v)(x) for x in a(r)]
-        if name == "selectattr":
-
-            def select(r):
-                values = [x(r) for x in args]
-                pick = lambda x: _attribute(x, values[0])
-                if len(values) < 3:
-                    return [x for x in a(r) if truth(pick(x))]
-                return [x for x in a(r) if _same(pick(x), values[2]) == (values[1] != "ne")]
-
-            return select
-        f = FILTERS.get(name)
-        return a if f is None else lambda r: f(a(r), *(x(r) for x in args))
-
-    def arguments(self) -> tuple[list[Node], dict[str, Node]]:
-        args, named = [], {}
-        while not self.take(")"):
-            if self.i + 1 < len(self.t) and self.t[self.i][0] == "name" and self.t[self.i + 1] == ("op", "="):
-                key = self.name()
-                self.i += 1
-                named[key] = self.whole()
-            else:
-                args.append(self.whole())
-            if not self.take(",") and not self.peek(")"):
-                raise TemplateError("')' expected")
-        return args, named
-
-    def postfix(self) -> Node:
-        a, name = self.primary()
-        while True:
-            if self.take("."):
-                key = self.name()
-                if self.take("("):
-                    args, named = self.arguments()
-                    a = self.method(a, key, args)
-                else:
-                    a = (lambda x, k: lambda r: _attribute(x(r), k))(a, key)
-            elif self.take("["):
-                a = self.index(a)
-            elif self.take("("):
-                args, named = self.arguments()
-                a = self.call(name, args, named)
+def value_of(node: Node | None, r: Run):
+    return UNDEFINED if node is None else _KINDS[node[0]](r, *node[1:])
+
+
+def _choose(r: Run, value: Node, when: Node, other: Node | None):
+    return value_of(value if truth(value_of(when, r)) else other, r)
+
+
+def _and(r: Run, a: Node, b: Node):
+    v = value_of(a, r)
+    return value_of(b, r) if truth(v) else v
+
+
+def _or(r: Run, a: Node, b: Node):
+    v = value_of(a, r)
+    return v if truth(v) else value_of(b, r)
+
+
+def _slice(r: Run, a: Node, *parts: Node | None):
+    v = value_of(a, r)
+    return v[slice(*(None if p is None else value_of(p, r) for p in parts))] if isinstance(v, list) else UNDEFINED
+
+
+def _method(r: Run, a: Node, key: str, args: list[Node], named: dict):
+    v = value_of(a, r)
+    known = METHODS if isinstance(v, str) else DICT_METHODS if isinstance(v, dict) else {}
+    if key not in known:
+        raise TemplateError(f"no method {key}")
+    return known[key](v, *(value_of(x, r) for x in args))
+
+
+def _filter(r: Run, a: Node, name: str, args: list[Node], named: dict[str, Node]):
+    v, given = value_of(a, r), [value_of(x, r) for x in args]
+    if name == "map":
+        if "attribute" in named:
+            key = value_of(named["attribute"], r)
+            return [_attribute(x, key) for x in v]
+        f = FILTERS.get(given[0], lambda x: x)
+        return [f(x) for x in v]
+    if name == "selectattr":
+        if len(given) < 3:
+            return [x for x in v if truth(_attribute(x, given[0]))]
+        return [x for x in v if _same(_attribute(x, given[0]), given[2]) == (given[1] != "ne")]
+    return FILTERS[name](v, *given) if name in FILTERS else v
+
+
+def _call(r: Run, name: str, args: list[Node], named: dict[str, Node]):
+    values, keys = [value_of(x, r) for x in args], {k: value_of(x, r) for k, x in named.items()}
+    if name == "raise_exception":
+        raise TemplateError(text_of(values[0]) if values else "")
+    if name in ("namespace", "dict"):
+        return dict(keys)
+    if name == "range":
+        if len(values) > 2 and not values[2]:
+            raise TemplateError("range needs a step")
+        return list(range(*values))
+    if name not in r.macros:
+        raise TemplateError(f"unknown function {name}")
+    if r.depth >= DEPTH:
+        raise TemplateError("macro recursion too deep")
+    parameters, body = r.macros[name]
+    scope = {}
+    for i, (parameter, default) in enumerate(parameters):
+        scope[parameter] = values[i] if i < len(values) else keys[parameter] if parameter in keys else value_of(default, r)
+    r.depth += 1
+    r.scopes.append(scope)
+    try:
+        return _text(body, r)
+    finally:
+        r.scopes.pop()
+        r.depth -= 1
+
+
+_KINDS: dict[str, Callable] = {
+    "const": lambda r, v: v, "name": lambda r, n: r.get(n), "attr": lambda r, a, n: _attribute(value_of(a, r), n), "item": lambda r, a, k: _attribute(value_of(a, r), value_of(k, r)),
+    "slice": _slice, "call": _call, "method": _method, "filter": _filter, "test": lambda r, a, n, negated: TESTS[n](value_of(a, r)) != negated, "not": lambda r, a: not truth(value_of(a, r)),
+    "neg": lambda r, a: -value_of(a, r), "and": _and, "or": _or, "op": lambda r, sign, a, b: _binary(sign, value_of(a, r), value_of(b, r)), "in": lambda r, a, b, negated: _binary("in", value_of(a, r), value_of(b, r)) != negated,
+    "choose": _choose, "list": lambda r, items: [value_of(x, r) for x in items], "dict": lambda r, pairs: {text_of(value_of(k, r)): value_of(v, r) for k, v in pairs},
+}
+
+
+def _text(body: list[Node], r: Run) -> str:
+    out: list[str] = []
+    _run(body, r, out)
+    return "".join(out)
+
+
+def _run(body: list[Node], r: Run, out: list[str]) -> None:
+    for node in body:
+        kind = node[0]
+        if kind == "text":
+            out.append(node[1])
+        elif kind == "out":
+            out.append(text_of(value_of(node[1], r)))
+        elif kind == "if":
+            chosen = next((branch for when, branch in node[1] if when is None or truth(value_of(when, r))), [])
+            _run(chosen, r, out)
+        elif kind == "for":
+            _loop(r, out, node[1], value_of(node[2], r), node[3])
+        elif kind == "macro":
+            r.macros[node[1]] = node[2:]
+        else:
+            _assign(r, node[1], node[2], value_of(node[3], r) if kind == "set" else _text(node[3], r))
+
+
+def _assign(r: Run, name: str, attribute: str, value) -> None:
+    if not attribute:
+        r.scopes[-1][name] = value
+        return
+    target = r.get(name)
+    if not isinstance(target, dict):
+        raise TemplateError(f"{name} has no attributes to set")
+    target[attribute] = value
+
+
+def _loop(r: Run, out: list, names: list[str], values, body: list[Node]) -> None:
+    values = sorted(values) if isinstance(values, dict) else values if isinstance(values, list) else []
+    n = len(values)
+    r.scopes.append({})  # lasts over all turns
+    try:
+        for i, v in enumerate(values):
+            scope = r.scopes[-1]
+            if len(names) == 1:
+                scope[names[0]] = v
             else:
-                return a
-            name = None
-
-    def method(self, a: Node, key: str, args: list[Node]) -> Node:
-        def run(r):
-            v = a(r)
-            known = METHODS if isinstance(v, str) else DICT_METHODS if isinstance(v, dict) else {}
-            if key not in known:
-                raise TemplateError(f"no method {key}")
-            return known[key](v, *(x(r) for x in args))
-
-        return run
-
-    def index(self, a: Node) -> Node:
-        parts: list[Node | None] = []
-        while True:
-            parts.append(None if self.peek(":", "]") else self.whole())
-            if not self.take(":"):
-                break
-        self.need("]")
-        if len(parts) == 1:
-            return lambda r: _attribute(a(r), parts[0](r))
-
-        def cut(r):
-            v = a(r)
-            return v[slice(*(None if p is None else p(r) for p in parts))] if isinstance(v, list) else UNDEFINED
-
-        return cut
-
-    def call(self, name: str | None, args: list[Node], named: dict[str, Node]) -> Node:
-        def run(r: Run):
-            values, keys = [x(r) for x in args], {k: x(r) for k, x in named.items()}
-            if name == "raise_exception":
-                raise TemplateError(text_of(values[0]) if values else "")
-            if name in ("namespace", "dict"):
-                return dict(keys)
-            if name == "range":
-                if len(values) > 2 and not values[2]:
-                    raise TemplateError("range needs a step")
-                return list(range(*values))
-            if name in r.macros:
-                return r.macros[name](r, values, keys)
-            raise TemplateError(f"unknown function {name}")
-
-        return run
-
-    def primary(self) -> tuple[Node, str | None]:
-        if self.i >= len(self.t):
-            raise TemplateError("expression expected")
-        kind, value = self.t[self.i]
-        self.i += 1
-        if kind == "num":
-            number = float(value) if "." in value else int(value)
-            return (lambda r: number), None
-        if kind == "str":
-            text = re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[0]), value[1:-1], flags=re.S)
-            return (lambda r: text), None
-        if kind == "name":
-            fixed = {"True": True, "true": True, "False": False, "false": False, "None": None, "none": None, "null": None}
-            if value in fixed:
-                return (lambda r: fixed[value]), None
-            return (lambda r: r.get(value)), value
-        if value == "(":
-            a = self.whole()
-            if self.take(","):
-                items = [a]
-                while not self.peek(")"):
-                    items.append(self.whole())
-                    self.take(",")
-                a = lambda r: [x(r) for x in items]
-            self.need(")")
-            return a, None
-        if value == "[":
-            items = []
-            while not self.take("]"):
-                items.append(self.whole())
-                if not self.take(",") and not self.peek("]"):
-                    raise TemplateError("']' expected")
-            return (lambda r: [x(r) for x in items]), None
-        if value == "{":
-            pairs = []
-            while not self.take("}"):
-                k = self.whole()
-                self.need(":")
-                pairs.append((k, self.whole()))
-                if not self.take(",") and not self.peek("}"):
-                    raise TemplateError("'}' expected")
-            return (lambda r: {text_of(k(r)): v(r) for k, v in pairs}), None
-        raise TemplateError(f"unexpected {value!r}")
-
-
-@dataclass
+                for k, name in enumerate(names):
+                    scope[name] = v[k] if isinstance(v, list) and k < len(v) else UNDEFINED
+            scope["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i == n - 1, "length": n, "revindex": n - i, "revindex0": n - i - 1}
+            if i:
+                scope["loop"]["previtem"] = values[i - 1]
+            if i < n - 1:
+                scope["loop"]["nextitem"] = values[i + 1]
+            _run(body, r, out)
+    finally:
+        r.scopes.pop()
+
+
 class Template:
-    """A compiled template."""
-
-    source: str
-
-    def __post_init__(self):
-        self.blocks, self.at = _blocks(self.source), 0
-        self.body = self._until(())
-
-    def _until(self, ends: tuple[str, ...]) -> list[Callable[[Run, list], None]]:
-        out = []
-        while self.at < len(self.blocks):
-            kind, content = self.blocks[self.at]
-            self.at += 1
-            if kind == "text":
-                out.append(lambda r, o, c=content: o.append(c))
-            elif kind == "expression":
-                out.append(lambda r, o, e=_Expression(content).whole(): o.append(text_of(e(r))))
-            elif kind == "statement":
-                word = content.split(None, 1)[0] if content else ""
-                if word in ends:
-                    self.at -= 1
-                    return out
-                out.append(self._statement(word, content[len(word) :].strip()))
-        if ends:
-            raise TemplateError(f"{ends[-1]} missing")
-        return out
-
-    def _next(self) -> tuple[str, str]:
-        word, _, rest = self.blocks[self.at][1].partition(" ")
-        self.at += 1
-        return word, rest.strip()
-
-    def _statement(self, word: str, rest: str) -> Callable[[Run, list], None]:
-        if word == "for":
-            m = re.match(r"([\w\s,]+?)\s+in\s+(.*)", rest, re.S)
-            if not m:
-                raise TemplateError("for needs 'in'")
-            names, each = [n.strip() for n in m[1].split(",")], _Expression(m[2]).whole()
-            body = self._until(("endfor",))
-            self._next()
-            return lambda r, o: self._loop(r, o, names, each(r), body)
-        if word == "if":
-            branches = [(_Expression(rest).whole(), self._until(("elif", "else", "endif")))]
-            while True:
-                end, more = self._next()
-                if end == "endif":
-                    break
-                when = _Expression(more).whole() if end == "elif" else lambda r: True
-                branches.append((when, self._until(("elif", "else", "endif"))))
-
-            def choose(r, o):
-                for when, body in branches:
-                    if truth(when(r)):
-                        self._all(body, r, o)
-                        return
-
-            return choose
-        if word == "set":
-            m = re.match(r"([\w.]+)\s*=(?!=)\s*(.*)", rest, re.S)
-            if m:
-                value = _Expression(m[2]).whole()
-                return lambda r, o: self._assign(r, m[1], value(r))
-            body = self._until(("endset",))
-            self._next()
-            return lambda r, o: self._assign(r, rest, self._text(body, r))
-        if word == "macro":
-            m = re.match(r"(\w+)\s*\((.*)\)\s*$", rest, re.S)
-            if not m:
-                raise TemplateError("macro needs a name and arguments")
-            args = []
-            e = _Expression(m[2] + ")")
-            while not e.take(")"):
-                name = e.name()
-                args.append((name, e.whole() if e.take("=") else None))
-                e.take(",")
-            body = self._until(("endmacro",))
-            self._next()
-
-            def call(r: Run, values: list, keys: dict):
-                if r.depth >= DEPTH:
-                    raise TemplateError("macro recursion too deep")
-                scope = {}
-                for i, (name, default) in enumerate(args):
-                    scope[name] = values[i] if i < len(values) else keys[name] if name in keys else default(r) if default else UNDEFINED
-                r.depth += 1
-                r.scopes.append(scope)
-                try:
-                    return self._text(body, r)
-                finally:
-                    r.scopes.pop()
-                    r.depth -= 1
-
-            return lambda r, o: r.macros.__setitem__(m[1], call)
-        raise TemplateError(f"Unknown block tag: {word}")
-
-    @staticmethod
-    def _all(body, r, o) -> None:
-        for step in body:
-            step(r, o)
-
-    def _text(self, body, r) -> str:
-        o: list[str] = []
-        self._all(body, r, o)
-        return "".join(o)
-
-    @staticmethod
-    def _assign(r: Run, name: str, value) -> None:
-        owner, _, key = name.partition(".")
-        if key:
-            target = r.get(owner)
-            if not isinstance(target, dict):
-                raise TemplateError(f"{owner} has no attributes to set")
-            target[key] = value
-        else:
-            r.scopes[-1][name] = value
+    """A parsed template."""
 
-    def _loop(self, r: Run, o: list, names: list[str], values, body) -> None:
-        values = sorted(values) if isinstance(values, dict) else values if isinstance(values, list) else []
-        n = len(values)
-        r.scopes.append({})  # lasts over all turns
-        try:
-            for i, v in enumerate(values):
-                scope = r.scopes[-1]
-                if len(names) == 1:
-                    scope[names[0]] = v
-                else:
-                    for k, name in enumerate(names):
-                        scope[name] = v[k] if isinstance(v, list) and k < len(v) else UNDEFINED
-                scope["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i == n - 1, "length": n, "revindex": n - i, "revindex0": n - i - 1}
-                if i:
-                    scope["loop"]["previtem"] = values[i - 1]
-                if i < n - 1:
-                    scope["loop"]["nextitem"] = values[i + 1]
-                self._all(body, r, o)
-        finally:
-            r.scopes.pop()
+    def __init__(self, source: str):
+        self.source, self.body = source, parse(source)
 
     def render(self, messages: list, add_generation_prompt: bool = True, bos: str = "", eos: str = "", args: dict | None = None) -> str:
         if args is not None and not isinstance(args, dict):
@@ -593,7 +306,7 @@ class Template:
                 raise TemplateError(f"argument {name} is reserved")
         values = {**(args or {}), "messages": messages, "add_generation_prompt": add_generation_prompt, "bos_token": bos, "eos_token": eos}
         try:
-            return self._text(self.body, Run(values, {}))
+            return _text(self.body, Run(values, {}))
         except TemplateError:
             raise
         except (TypeError, ValueError, KeyError, IndexError, AttributeError, RecursionError) as e:

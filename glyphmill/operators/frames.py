@@ -7,13 +7,18 @@ counts are asked for, token_frequencies() runs the model once for each distinct
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions import templates
 from .tokenizer import Encoding, Spec, Tokenizer
 
+if TYPE_CHECKING:
+    from ..sources.spec import Config
+
 _SPAN = "struct<start:int,end:int>"
 ENCODING = f"struct<ids:array<int>,type_ids:array<int>,tokens:array<string>,words:array<int>,offsets:array<{_SPAN}>,special_tokens_mask:array<int>,attention_mask:array<int>,sequence_ranges:map<int,{_SPAN}>>"
 _ARROW_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -58,6 +63,11 @@ class TextPipeline:
 
         return _added_column(df, out, ENCODING, _ARROW, [text, pair] if pair else [text], make)
 
+    def encode_chat(self, df: DataFrame, config: Config, messages: str = "messages", out: str = "encoding", name: str = "default", add_generation_prompt: bool = True, add_special: bool = True, args: dict | None = None) -> DataFrame:
+        """Encodings of what a named template of the configuration makes of messages."""
+        prompts = templates.apply_chat(df, config.templates[name], messages, "__prompt", add_generation_prompt, config.bos or "", config.eos or "", args)
+        return self.encode(prompts, "__prompt", out, add_special).drop("__prompt")
+
     def ids(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
         return _added_column(df, out, "array<int>", _INTS, [text], lambda: Tokenizer(known.value).ids)

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import expr
-from ..operators import chat
+from ..functions import expr, templates
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec
 
@@ -241,36 +240,57 @@ SQL["pair_encode"] = f"SELECT doc_id, ({_COUNT.format('text')} + {_COUNT.format(
 SQL["post_template"] = f"SELECT doc_id, ({_COUNT.format('text')} + 2)::INT AS n, 7 AS first, 8 AS last, (3 * {_COUNT.format('text')} + 5)::INT AS type_sum FROM documents"
 SQL["decode_bytefallback"] = "SELECT doc_id, strlen(text)::INT AS n_bytes, md5(text) AS digest FROM documents"
 
-# chat templates
+# chat templates, compiled to expressions over arrays of messages
+_TURN = "turn, role, text"  # ties of turns in a fixed order
 TEMPLATES = {
-    "chat_chatml": ("{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' + m.content + '<|im_end|>\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}", "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)", "'<|im_start|>assistant' || chr(10)"),
-    "chat_phi3": ("{% for m in messages %}{{ '<|' + m['role'] + '|>\n' + m['content'] + '<|end|>\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|assistant|>\n' }}{% endif %}", "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)", "'<|assistant|>' || chr(10)"),
-    "chat_turns": ("{% for m in messages %}{{ loop.index }}/{{ loop.length }} {{ m.role|upper }}: {{ m.content|trim }}{% if not loop.last %}{{ ' ~ ' }}{% endif %}{% endfor %}", None, None),
+    "chat_chatml": "{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' + m.content + '<|im_end|>\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}",
+    "chat_phi3": "{% for m in messages %}{{ '<|' + m['role'] + '|>\n' + m['content'] + '<|end|>\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|assistant|>\n' }}{% endif %}",
+    "chat_turns": "{% for m in messages %}{{ loop.index }}/{{ loop.length }} {{ m.role|upper }}: {{ m.content|trim }}{% if not loop.last %}{{ ' ~ ' }}{% endif %}{% endfor %}",
+    # questions are numbered by a namespace, which outlives the loop; the last role is carried from turn to turn
+    "chat_numbered": "{% set ns = namespace(questions=0, last='') %}{% for m in messages %}{% if m.role == 'user' %}{% set ns.questions = ns.questions + 1 %}{% endif %}{% if m.role != ns.last %}[{{ m.role }} {{ ns.questions }}]{% endif %}{{ m.content }};{% set ns.last = m.role %}{% endfor %}({{ ns.questions }} {{ ns.last }})",
+    # a first system message goes into the first turn after it
+    "chat_folded": "{% if messages[0].role == 'system' %}{% set prefix = messages[0].content|trim + '\n\n' %}{% set turns = messages[1:] %}{% else %}{% set prefix = '' %}{% set turns = messages %}{% endif %}{% for m in turns %}{% if m.role == 'assistant' %}{% set role = 'model' %}{% else %}{% set role = m.role %}{% endif %}<start_of_turn>{{ role }}{{ '\n' + (prefix if loop.first else '') + m.content|trim }}<end_of_turn>{{ '\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<start_of_turn>model\n' }}{% endif %}",
+    # one macro for all roles, neighbours, JSON
+    "chat_macro": "{% macro tag(name, text, more='') %}<{{ name }}{{ more }}>{{ text }}</{{ name }}>{% endmacro %}{% for m in messages %}{% if loop.previtem is defined and loop.previtem.role == m.role %}{{ tag(m.role, m.content, ' again') }}{% else %}{{ tag(m.role, m.content|length) }}{% endif %}{% endfor %}{{ (messages|selectattr('role', 'eq', 'user')|list)|length }}{{ messages|map(attribute='role')|join(',') }}",
 }
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, messages; a conversation is one value, as its prompt is one text."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return turns.select("conv_id", F.to_json(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"))
+    return turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
 
 
-for _name, (_template, _each, _end) in TEMPLATES.items():
-    QUERIES[_name] = lambda spark, d, t=_template: chat.apply_chat(_conversations(spark, d), t).select("conv_id", F.octet_length("prompt").alias("n_bytes"), F.md5("prompt").alias("digest"))
-    if _each:
-        SQL[_name] = f"SELECT conv_id, strlen(p)::INT AS n_bytes, md5(p) AS digest FROM (SELECT conv_id, string_agg({_each}, '' ORDER BY turn) || {_end} AS p FROM conversations GROUP BY conv_id)"
-SQL["chat_turns"] = "SELECT conv_id, strlen(p)::INT AS n_bytes, md5(p) AS digest FROM (SELECT conv_id, string_agg(r || '/' || n || ' ' || upper(role) || ': ' || trim(text, chr(10) || chr(9) || ' '), ' ~ ' ORDER BY turn) AS p FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id)"
+def _chat(name: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, d: templates.apply_chat(_conversations(spark, d), TEMPLATES[name]).select("conv_id", F.octet_length("prompt").alias("n_bytes"), F.md5("prompt").alias("digest"))
+    SQL[name] = f"SELECT conv_id, strlen(p)::INT AS n_bytes, md5(p) AS digest FROM ({sql})"
+
+
+_CHATML = f"SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY {_TURN}) || '<|im_start|>assistant' || chr(10) AS p FROM conversations GROUP BY conv_id"
+_OVER = f"(PARTITION BY conv_id ORDER BY {_TURN})"
+_TRIMMED = "trim(text, chr(10) || chr(13) || chr(9) || ' ')"
+_chat("chat_chatml", _CHATML)
+_chat("chat_phi3", f"SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY {_TURN}) || '<|assistant|>' || chr(10) AS p FROM conversations GROUP BY conv_id")
+_chat("chat_turns", f"SELECT conv_id, string_agg(r || '/' || n || ' ' || upper(role) || ': ' || {_TRIMMED}, ' ~ ' ORDER BY {_TURN}) AS p FROM (SELECT *, row_number() OVER {_OVER} AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id")
+_chat("chat_numbered", f"""SELECT conv_id, string_agg(CASE WHEN before IS DISTINCT FROM role THEN '[' || role || ' ' || q || ']' ELSE '' END || text || ';', '' ORDER BY r) || '(' || max(q) || ' ' || arg_max(role, r) || ')' AS p
+FROM (SELECT *, row_number() OVER {_OVER} AS r, lag(role) OVER {_OVER} AS before, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER ({_OVER[1:-1]} ROWS UNBOUNDED PRECEDING) AS q FROM conversations) GROUP BY conv_id""")
+_chat("chat_folded", f"""SELECT conv_id, coalesce(string_agg('<start_of_turn>' || replace(role, 'assistant', 'model') || chr(10) || CASE WHEN r = 1 AND NOT folded OR r = 2 AND folded THEN prefix ELSE '' END || {_TRIMMED} || '<end_of_turn>' || chr(10), '' ORDER BY r)
+  FILTER (r > 1 OR NOT folded), '') || '<start_of_turn>model' || chr(10) AS p FROM (
+  SELECT *, first(role) OVER {_OVER} = 'system' AS folded, CASE WHEN first(role) OVER {_OVER} = 'system' THEN first({_TRIMMED}) OVER {_OVER} || chr(10) || chr(10) ELSE '' END AS prefix, row_number() OVER {_OVER} AS r FROM conversations) GROUP BY conv_id""")
+_chat("chat_macro", f"""SELECT conv_id, string_agg(CASE WHEN before = role THEN '<' || role || ' again>' || text ELSE '<' || role || '>' || strlen(text) END || '</' || role || '>', '' ORDER BY r)
+  || count(*) FILTER (role = 'user') || string_agg(role, ',' ORDER BY r) AS p
+FROM (SELECT *, row_number() OVER {_OVER} AS r, lag(role) OVER {_OVER} AS before FROM conversations) GROUP BY conv_id""")
 
 
 def encode_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each conversation's prompt, and those of them that are added tokens."""
     spec = Spec.of(_PLAIN | {"added_tokens": [{"content": t, "special": True} for t in ("<|im_start|>", "<|im_end|>")]})
-    prompts = chat.apply_chat(_conversations(spark, sf_dir), TEMPLATES["chat_chatml"][0])
+    prompts = templates.apply_chat(_conversations(spark, sf_dir), TEMPLATES["chat_chatml"])
     ids = TextPipeline(spec).ids(prompts, "prompt")
     return ids.select("conv_id", F.size("ids").alias("n_tokens"), F.size(F.filter("ids", lambda i: i > 0)).alias("n_added"))
 
 
 QUERIES["encode_chat"] = encode_chat
 SQL["encode_chat"] = f"""SELECT conv_id, ({_COUNT.format("replace(replace(p, '<|im_start|>', ' '), '<|im_end|>', ' ')")} + k)::INT AS n_tokens, k::INT AS n_added FROM (
-SELECT conv_id, p, len(string_split(p, '<|im_start|>')) + len(string_split(p, '<|im_end|>')) - 2 AS k FROM (
-SELECT conv_id, string_agg({TEMPLATES["chat_chatml"][1]}, '' ORDER BY turn) || {TEMPLATES["chat_chatml"][2]} AS p FROM conversations GROUP BY conv_id))"""
+SELECT conv_id, p, len(string_split(p, '<|im_start|>')) + len(string_split(p, '<|im_end|>')) - 2 AS k FROM ({_CHATML}))"""
