@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ..operators.stages import BYTE_CHARS, CHAR_BYTES
+from ..operators.stages import BYTE_CHARS, BYTE_PATTERN, CHAR_BYTES
 from .dialect import to_java
 
 # fixed values: Unicode White_Space, and the characters that the Nmt normalizer drops and blanks
@@ -24,6 +24,11 @@ def lowercase(t: Column) -> Column:
     return F.lower(t)
 
 
+def lowercase_each(t: Column) -> Column:
+    """Character by character: a capital sigma has one small form, wherever it stands."""
+    return F.array_join(F.transform(F.split(t, "Σ", -1), F.lower), "σ")
+
+
 def strip(t: Column, left: bool = True, right: bool = True) -> Column:
     f = F.btrim if left and right else F.ltrim if left else F.rtrim if right else (lambda x, _: x)
     return f(t, F.lit(WHITE))
@@ -91,9 +96,16 @@ def char_delimiter(t: Column, delimiter: str) -> Column:
     return F.filter(F.split(t, quote(delimiter)), lambda x: x != "")
 
 
-def metaspace(t: Column, mark: str = "▁") -> Column:
+def metaspace(t: Column, mark: str = "▁", prepend: bool = True, split: bool = True) -> Column:
     marked = replace(t, " ", mark)
-    return pieces(F.when(marked.startswith(mark) | (marked == ""), marked).otherwise(F.concat(F.lit(mark), marked)), f"{quote(mark)}?(?:(?!{quote(mark)})(?s:.))+|{quote(mark)}")
+    if prepend:
+        marked = F.when(marked.startswith(mark) | (marked == ""), marked).otherwise(F.concat(F.lit(mark), marked))
+    return pieces(marked, f"{quote(mark)}?(?:(?!{quote(mark)})(?s:.))+|{quote(mark)}") if split else F.filter(F.array(marked), lambda x: x != "")
+
+
+def byte_level_pieces(t: Column) -> Column:
+    """Not yet in the byte alphabet."""
+    return pieces(t, to_java(BYTE_PATTERN))
 
 
 def split_on(t: Column, c: str, behavior: str) -> Column:
@@ -151,6 +163,25 @@ def decode_replace(a: Column, old: str, new: str) -> Column:
     return F.array_join(F.transform(a, lambda t: F.replace(t, F.lit(old), F.lit(new))), "")
 
 
+def byte_fallback(a: Column) -> Column:
+    """Runs of byte tokens as texts, or as U+FFFD for each byte of a run that is no UTF-8; other tokens as they are.
+
+    All tokens are written in hexadecimal digits behind a letter that tells their kind, so that one pattern finds the runs.
+    """
+    digits = lambda t: F.hex(F.encode(t, "UTF-8"))
+    row = F.array_join(F.transform(a, lambda t: F.when(t.rlike(r"\A<0x[0-9A-Fa-f]{2}>\z"), F.concat(F.lit("x"), F.upper(F.substring(t, 4, 2)))).otherwise(F.concat(F.lit("y"), digits(t)))), "")
+
+    def back(run: Column) -> Column:
+        text = F.unhex(F.translate(run, "xy", "")).cast("string")
+        return F.when(F.is_valid_utf8(text), F.array(text)).otherwise(F.array_repeat(F.lit("\ufffd"), (F.length(run) / 3).cast("int")))
+
+    return F.flatten(F.transform(pieces(row, "(?:x..)+|y[0-9A-F]*"), back))
+
+
+def decode_byte_fallback(a: Column) -> Column:
+    return F.array_join(byte_fallback(a), "")
+
+
 def decode_ctc(a: Column, pad: str = "<pad>", delimiter: str = "|") -> Column:
     # beside each token the one before it: looked up in a lambda, the array would be made again for each
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr, templates
+from ..operators import stages
 from ..operators.frames import TextPipeline
-from ..operators.tokenizer import Spec
+from ..operators.tokenizer import Spec, Tokenizer
+from . import dictionary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +21,18 @@ TOP = 2000
 _DUCK_WORD = r"\p{L}\p{M}\p{Nd}\p{Pc}"
 
 
+#: A table of fewer partitions a core is dealt out before its texts are worked on.
+SPREAD = 4
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Small tables over all cores: a file of one row group is one task, however many cores wait. Larger ones are left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < SPREAD * cores else df
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return _spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
 
 
 def _arrays(name: str, make: Callable[[Column], Column], sql: str) -> None:
@@ -150,10 +162,42 @@ BPE_SPEC = Spec.of({
 
 
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level BPE there and back."""
-    p = TextPipeline(BPE_SPEC)
-    ids = p.ids(_docs(spark, sf_dir).select("doc_id", "text"))
-    return p.decode(ids, out="back").select("doc_id", F.md5("back").alias("digest"), (F.size("ids") > 0).alias("encoded"))
+    """Byte-level BPE there and back: by the corpus' dictionary, and by the tokens' table."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    ids = dictionary.encode(docs, BPE_SPEC, ["doc_id"])
+    return ids.select("doc_id", F.md5(dictionary.decode(BPE_SPEC, F.col("ids"))).alias("digest"), (F.size("ids") > 0).alias("encoded"))
+
+
+def bpe_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, and a digest of all of them, each by its bytes."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    ids = dictionary.encode(docs, BPE_SPEC, ["doc_id"], dictionary=dictionary.words(docs, BPE_SPEC, most=4096))
+    of = Tokenizer(BPE_SPEC).model.tokens
+    bytes_of = F.array(*(F.lit(bytes(stages.CHAR_BYTES[c] for c in of[i]).hex().upper()) for i in range(len(of))))
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda i: F.get(bytes_of, i)), ",")).alias("digest"))
+
+
+# the pieces of byte-level tokenizers: of a run of white space the last stays with what follows, so a mark is put before it, which no piece takes
+_GPT2 = r"""regexp_extract_all(regexp_replace(text, '(\s+)(\s)(\S)', '\1' || chr(1) || '\2\3', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\x01\p{L}\p{N}]+|\s+')"""
+_arrays("pretok_gpt2", expr.byte_level_pieces, _GPT2)
+
+
+def _merged(symbols: str) -> str:
+    """Merges one after another, in their order, over symbols between two marks: no merge makes a pair of an earlier one."""
+    for pair in _PAIRS:
+        a, b = (part.replace("Ġ", " ") for part in pair.split(" "))
+        symbols = f"replace({symbols}, chr(2) || '{a}' || chr(3) || chr(2) || '{b}' || chr(3), chr(2) || '{a}{b}' || chr(3))"
+    return symbols
+
+
+_BYTES_SQL = r"list_transform(string_split(rtrim(replace(s, chr(2), ''), chr(3)), chr(3)), lambda x: CASE WHEN strlen(x) = len(x) THEN hex(encode(x)) ELSE rtrim(regexp_replace(hex(encode(x)), '(..)', '\1,', 'g'), ',') END)"
+_SYMBOLS_SQL = _merged(r"regexp_replace(piece, '(.)', chr(2) || '\1' || chr(3), 'gs')")
+SQL["bpe_doc_counts"] = f"""WITH p AS (SELECT doc_id, unnest(g) AS piece, unnest(range(len(g))) AS i FROM (SELECT doc_id, {_GPT2} AS g FROM documents)),
+w AS (SELECT piece, {_SYMBOLS_SQL} AS s FROM (SELECT DISTINCT piece FROM p)),
+t AS (SELECT piece, array_to_string({_BYTES_SQL}, ',') AS tokens FROM w),
+d AS (SELECT doc_id, string_agg(tokens, ',' ORDER BY i) AS tokens FROM p JOIN t ON p.piece = t.piece GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN coalesce(tokens, '') = '' THEN 0 ELSE len(tokens) - len(replace(tokens, ',', '')) + 1 END::INT AS n_tokens, md5(coalesce(tokens, '')) AS digest
+FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
 
 
 def _kernel(name: str, normalizer: dict, sql: str | None) -> None:
@@ -170,11 +214,6 @@ _kernel("norm_nfkd", {"type": "NFKD"}, None)
 _kernel("norm_bert", {"type": "BertNormalizer"}, None)
 
 
-def pretok_gpt2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = TextPipeline(BPE_SPEC).pre_tokenize(_docs(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", F.element_at("pieces", -1)["end"].alias("n_bytes"))
-
-
 def offsets_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte offset of the last white-space separated piece."""
     spec = Spec.of({"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer": {"type": "WhitespaceSplit"}})
@@ -182,9 +221,8 @@ def offsets_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("pieces").alias("n"), F.try_element_at("pieces", F.lit(-1))["end"].alias("last_end"))
 
 
-QUERIES |= {f.__name__: f for f in (bpe_roundtrip, pretok_gpt2, offsets_running)}
+QUERIES |= {f.__name__: f for f in (bpe_roundtrip, bpe_doc_counts, offsets_running)}
 SQL["bpe_roundtrip"] = "SELECT doc_id, md5(text) AS digest, strlen(text) > 0 AS encoded FROM documents"
-SQL["pretok_gpt2"] = "SELECT doc_id, strlen(text)::INT AS n_bytes FROM documents"
 SQL["offsets_running"] = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: x <> ''))::INT AS n, strlen(regexp_replace(text, '[ \t\n\r]+$', ''))::INT AS last_end FROM documents"
 
 # models on the distinct words of the corpus, whose pieces an alternation of regular expressions finds too
@@ -228,17 +266,26 @@ def post_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_bytefallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as byte tokens, and back."""
-    spec = Spec.of({"model": {"type": "WordLevel", "vocab": {f"<0x{b:02X}>": b for b in range(256)} | {"[UNK]": 256}}, "decoder": {"type": "ByteFallback"}})
-    digits = expr.pieces(F.hex(F.encode("text", "UTF-8")), "..")
-    ids = _docs(spark, sf_dir).select("doc_id", F.transform(digits, lambda h: F.conv(h, 16, 10).cast("int")).alias("ids"))
-    return TextPipeline(spec).decode(ids).select("doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("digest"))
+    """Every other word as byte tokens, of which every third loses its last byte, so that some are no UTF-8."""
+
+    def byte_tokens(w: Column) -> Column:
+        digits = expr.pieces(F.hex(F.encode(w, "UTF-8")), "..")
+        kept = F.slice(digits, 1, F.size(digits) - F.when(F.size(digits) % 3 == 0, 1).otherwise(0))
+        return F.transform(kept, lambda h: F.concat(F.lit("<0x"), h, F.lit(">")))
+
+    tokens = F.flatten(F.transform(expr.whitespace_split(F.col("text")), lambda w, i: F.when(i % 2 == 0, byte_tokens(w)).otherwise(F.array(w))))
+    back = _docs(spark, sf_dir).select("doc_id", expr.byte_fallback(tokens).alias("p"))
+    return back.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "")).alias("digest"))
 
 
 QUERIES |= {f.__name__: f for f in (pair_encode, post_template, decode_bytefallback)}
 SQL["pair_encode"] = f"SELECT doc_id, ({_COUNT.format('text')} + {_COUNT.format('lang')} + 3)::INT AS n, ({_COUNT.format('lang')} + 1)::INT AS n_second, 3 AS n_special FROM documents"
 SQL["post_template"] = f"SELECT doc_id, ({_COUNT.format('text')} + 2)::INT AS n, 7 AS first, 8 AS last, (3 * {_COUNT.format('text')} + 5)::INT AS type_sum FROM documents"
-SQL["decode_bytefallback"] = "SELECT doc_id, strlen(text)::INT AS n_bytes, md5(text) AS digest FROM documents"
+# without its last byte, a word ends in a part of a character unless that one is of ASCII
+_WORDS_SQL = r"list_filter(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: x <> '')"
+SQL["decode_bytefallback"] = f"""SELECT doc_id, (len(p) + coalesce(list_sum(list_transform(p, lambda x: CASE WHEN x.run AND x.bad THEN x.n - 1 WHEN x.run AND x.n = 0 THEN -1 ELSE 0 END)), 0))::INT AS n, md5(array_to_string(list_transform(p, lambda x: x.t), '')) AS digest
+FROM (SELECT doc_id, list_transform({_WORDS_SQL}, lambda w, i: CASE WHEN i % 2 = 0 THEN {{'run': false, 'bad': false, 'n': 0, 't': w}} WHEN strlen(w) % 3 <> 0 THEN {{'run': true, 'bad': false, 'n': strlen(w), 't': w}}
+  WHEN strlen(w[-1:]) = 1 THEN {{'run': true, 'bad': false, 'n': strlen(w) - 1, 't': w[:-2]}} ELSE {{'run': true, 'bad': true, 'n': strlen(w) - 1, 't': repeat('\ufffd', strlen(w) - 1)}} END) AS p FROM documents)"""
 
 # chat templates, compiled to expressions over arrays of messages
 _TURN = "turn, role, text"  # ties of turns in a fixed order
