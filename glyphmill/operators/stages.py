@@ -365,11 +365,10 @@ class Unigram(Vocabulary):
     def __init__(self, spec: dict):
         rows = spec["vocab"]
         super().__init__({}, {i: t for i, (t, _) in enumerate(rows)})
-        for i, (t, _) in enumerate(rows):
-            self.ids.setdefault(t, i)
-        self.scores = {t: s for t, s in reversed([tuple(r) for r in rows])}
+        self.ids |= {t: i for i, (t, _) in enumerate(rows)}  # of a piece that comes twice the last
+        self.scores = {t: s for t, s in rows}
         self.unknown, self.fallback = spec.get("unk_id"), spec.get("byte_fallback", False)
-        self.unknown_score = min(self.scores.values(), default=0.0) - 10
+        self.unknown_score = min((s for _, s in rows), default=0.0) - 10
         self.longest = max(map(len, self.scores), default=1)
 
     def _ending(self, text: str, end: int) -> list[tuple[float, int, str | None]]:

@@ -11,7 +11,7 @@ from ..functions import expr, templates
 from ..operators import stages
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec, Tokenizer
-from . import dictionary
+from . import dictionary, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,6 +246,35 @@ def _words(name: str, spec: Spec, sql: str) -> None:
 _words("wordpiece_tokens", WORDPIECE_SPEC, f"CASE WHEN len(word) > 100 THEN ['[UNK]'] ELSE list_transform(regexp_extract_all(word, '{'|'.join(_STEMS)}|[a-z]'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END) END")
 _words("bpe_tokens", LETTERS_SPEC, "regexp_extract_all(word, 'th|an|er|[a-z]')")
 
+# best paths over the words of the corpus; scores of eighths add up exactly, and some paths are equal
+_UNIGRAM_PIECES = {**{c: -2.0 - 0.125 * (i % 5) for i, c in enumerate(_LETTERS)}, "th": -3.0, "he": -3.125, "the": -4.0, "in": -3.25, "ing": -4.25, "er": -3.0, "re": -3.0, "tion": -5.5, "on": -3.5, "an": -3.125, "and": -4.5, "en": -3.25, "sch": -4.75, "ch": -3.5, "la": -3.375, "el": -3.125}
+UNIGRAM_SPEC = Spec.of({"model": {"type": "Unigram", "vocab": [["<unk>", -20.0], *([p, s] for p, s in _UNIGRAM_PIECES.items())], "unk_id": 0}})
+
+
+def unigram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and score of each distinct word."""
+    words = _docs(spark, sf_dir).select(F.explode(expr.whitespace_split(F.lower("text"))).alias("word"))
+    found = unigram.best_paths(words, UNIGRAM_SPEC)
+    return found.select("word", "score", F.array_join(F.transform("pieces", lambda p: p["text"]), " ").alias("pieces"), F.array_join(F.transform("pieces", lambda p: p["id"].cast("string")), " ").alias("ids"))
+
+
+QUERIES["unigram_score"] = unigram_score
+_UNIGRAM_VALUES = ", ".join(f"('{p}', {s}::DOUBLE, {i})" for i, (p, s) in enumerate([("<unk>", -20.0), *_UNIGRAM_PIECES.items()]))
+SQL["unigram_score"] = f"""WITH RECURSIVE v(piece, score, id) AS (VALUES {_UNIGRAM_VALUES}),
+w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r]'), lambda x: x <> '')) AS word FROM documents),
+spans AS (SELECT word, a, unnest(range(a + 1, least(len(word), a + 5) + 1)) AS e FROM (SELECT word, unnest(range(len(word))) AS a FROM w)),
+edges AS (SELECT word, e, list({{'a': a, 's': coalesce(score, -30.0), 'id': coalesce(id, 0), 'u': score IS NULL}} ORDER BY a) AS c
+  FROM spans LEFT JOIN v ON word[a + 1 : e] = piece WHERE score IS NOT NULL OR e = a + 1 GROUP BY word, e),
+f(word, e, s, b) AS (SELECT word, 0, [0.0::DOUBLE], []::STRUCT(a BIGINT, s DOUBLE, id INTEGER, u BOOLEAN)[] FROM w UNION ALL
+  SELECT word, e, list_append(s, list_max(t)), list_append(b, c[list_position(t, list_max(t))]) FROM (
+    SELECT f.word, edges.e::INT AS e, f.s, f.b, edges.c, list_transform(edges.c, lambda x: f.s[x.a + 1] + x.s) AS t FROM f JOIN edges ON f.word = edges.word AND edges.e = f.e + 1)),
+g(word, pos, b, p) AS (SELECT word, e, b, []::STRUCT(t VARCHAR, id INTEGER, u BOOLEAN)[] FROM f WHERE e = len(word) UNION ALL
+  SELECT word, b[pos].a::INT, b, list_prepend({{'t': word[b[pos].a + 1 : pos], 'id': b[pos].id, 'u': b[pos].u}}, p) FROM g WHERE pos > 0),
+h AS (SELECT f.word, f.s[-1] AS score, list_transform(list_zip(p, list_concat([NULL], p[:-2])), lambda x: {{'t': CASE WHEN x[2] IS NULL OR (x[1].u AND x[2].u) THEN '' ELSE ' ' END || x[1].t, 'id': CASE WHEN x[1].u AND coalesce(x[2].u, false) THEN '' WHEN x[2] IS NULL THEN x[1].id::VARCHAR ELSE ' ' || x[1].id END}}) AS q
+  FROM f JOIN g ON f.word = g.word AND f.e = len(f.word) AND g.pos = 0)
+SELECT word, score, array_to_string(list_transform(q, lambda x: x.t), '') AS pieces, array_to_string(list_transform(q, lambda x: x.id), '') AS ids FROM h"""
+
+
 # pairs and templates by kernels
 _PLAIN = {"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer": {"type": "WhitespaceSplit"}}
 _COUNT = r"len(list_filter(regexp_split_to_array({}, '[ \t\n\r]'), lambda x: x <> ''))"
