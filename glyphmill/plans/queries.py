@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import expr, templates
+from ..functions import alignment, expr, templates
 from ..operators import stages
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec, Tokenizer
@@ -214,16 +214,40 @@ _kernel("norm_nfkd", {"type": "NFKD"}, None)
 _kernel("norm_bert", {"type": "BertNormalizer"}, None)
 
 
+def _offsets(spark: SparkSession, sf_dir: str, normal: dict | None, pre: dict) -> DataFrame:
+    """Number and digest of the pieces with the bytes of the original that each comes from."""
+    found = alignment.pre_tokenize(_docs(spark, sf_dir).select("doc_id", "text"), normal, pre)
+    shown = F.transform("pieces", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"), p["text"]))
+    return found.select("doc_id", F.size("pieces").alias("n"), F.md5(F.array_join(shown, "\x1f")).alias("digest"))
+
+
 def offsets_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The byte offset of the last white-space separated piece."""
-    spec = Spec.of({"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer": {"type": "WhitespaceSplit"}})
-    found = TextPipeline(spec).pre_tokenize(_docs(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", F.size("pieces").alias("n"), F.try_element_at("pieces", F.lit(-1))["end"].alias("last_end"))
+    """Of the pieces between white space."""
+    return _offsets(spark, sf_dir, None, {"type": "WhitespaceSplit"})
+
+
+def norm_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts that five normalizers have made longer and shorter."""
+    steps = [{"type": "Strip"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Replace", "pattern": {"String": "th"}, "content": "þ"}, {"type": "Prepend", "prepend": "▁▁"}]
+    return _offsets(spark, sf_dir, {"type": "Sequence", "normalizers": steps}, {"type": "WhitespaceSplit"})
 
 
-QUERIES |= {f.__name__: f for f in (bpe_roundtrip, bpe_doc_counts, offsets_running)}
+QUERIES |= {f.__name__: f for f in (bpe_roundtrip, bpe_doc_counts, offsets_running, norm_offsets)}
 SQL["bpe_roundtrip"] = "SELECT doc_id, md5(text) AS digest, strlen(text) > 0 AS encoded FROM documents"
-SQL["offsets_running"] = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: x <> ''))::INT AS n, strlen(regexp_replace(text, '[ \t\n\r]+$', ''))::INT AS last_end FROM documents"
+
+
+def _offsets_sql(piece: str, start: str) -> str:
+    """Words between white space with their places among the bytes of all that covers the text."""
+    return f"""WITH c AS (SELECT doc_id, unnest(g) AS w, unnest(range(len(g))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ \\t\\n\\r]+|[^ \\t\\n\\r]+') AS g FROM documents)),
+s AS (SELECT doc_id, w, i, (sum(strlen(w)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(w))::BIGINT AS a FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM s WHERE NOT regexp_matches(w, '^[ \\t\\n\\r]')),
+d AS (SELECT doc_id, count(*)::INT AS n, string_agg({start} || ':' || (a + strlen(w)) || ':' || {piece}, chr(31) ORDER BY i) AS t FROM k GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n, md5(coalesce(t, '')) AS digest FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
+
+
+SQL["offsets_running"] = _offsets_sql("w", "a")
+# what replaces "th" stands for its last letter
+SQL["norm_offsets"] = _offsets_sql("CASE WHEN r = 1 THEN '▁▁' ELSE '' END || replace(lower(w), 'th', 'þ')", "(a + CASE WHEN starts_with(lower(w), 'th') THEN 1 ELSE 0 END)")
 
 # models on the distinct words of the corpus, whose pieces an alternation of regular expressions finds too
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
