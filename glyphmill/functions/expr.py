@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from ..operators.stages import BYTE_CHARS, BYTE_PATTERN, CHAR_BYTES
 from .dialect import to_java
@@ -108,6 +109,66 @@ def byte_level_pieces(t: Column) -> Column:
     return pieces(t, to_java(BYTE_PATTERN))
 
 
+# fixed values: what counts as Han beside its own characters, and the scripts that most texts are in, which are tried first
+_HAN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}"
+_FREQUENT = ("LATIN", "COMMON", "HAN", "CYRILLIC", "ARABIC", "GREEK", "HANGUL", "DEVANAGARI", "INHERITED")
+
+
+def scripts_pattern(names: list[str]) -> str:
+    """A pattern of runs of one script out of those named: one character decides, and the rest is a loop over a class.
+
+    The space and what has no script join what is before them, at the beginning what follows.
+    """
+    known = [n for n in _FREQUENT if n in names] + sorted(set(names) - {*_FREQUENT, "UNKNOWN", "HIRAGANA", "KATAKANA"})
+    neither = r"\x20\p{IsUnknown}"
+    classes = {"HAN": _HAN, "COMMON": r"\p{IsCommon}&&[^\x20\x{30FC}]"}
+    runs = [f"[{c}](?:[{c}]|[{neither}])*+" if "&&" in c else f"[{c}][{c}{neither}]*+" for c in (classes.get(n, rf"\p{{Is{n}}}") for n in known)]
+    return f"[{neither}]*+(?:{'|'.join(runs)})|[{neither}]++"
+
+
+def script_names() -> list[str]:
+    """Those that this session's JVM knows."""
+    jvm = SparkSession.active().sparkContext._jvm
+    return [s.name() for s in jvm.java.lang.Character.UnicodeScript.values()]
+
+
+def unicode_scripts(t: Column, names: list[str]) -> Column:
+    """Pieces of one script; names are those that the JVM knows (Character.UnicodeScript)."""
+    return pieces(t, scripts_pattern(names))
+
+
+def trie(words: list[str]) -> str:
+    """A pattern of the longest of many words: they share the patterns of their beginnings, so each character is looked at once."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        ends = "" in node
+        ways = [quote(c) + of(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 and not ends else f"(?:{'|'.join(ways)})"
+        return one + "?" if ends else one
+
+    return of(root)
+
+
+def added_tokens(t: Column, ids: dict[str, int]) -> Column:
+    """array<struct<text, id>>: the text between added tokens with a null id, and these; at each place the longest counts."""
+    tokens = [w for w in ids if w]
+    if not tokens:
+        return F.when(t.isNotNull(), F.transform(F.filter(F.array(t), lambda x: x != ""), lambda x: F.struct(x.alias("text"), F.lit(None).cast("int").alias("id"))))
+    known = trie(tokens)
+    java = f"({known})|(?:(?!{known})(?s:.))+"
+    names, numbers = F.from_json(F.lit(json.dumps(tokens)), "array<string>"), F.from_json(F.lit(json.dumps([ids[w] for w in tokens])), "array<int>")
+    found = F.zip_with(F.regexp_extract_all(t, F.lit(java), F.lit(0)), F.regexp_extract_all(t, F.lit(java), F.lit(1)), lambda piece, token: F.struct(piece.alias("text"), F.when(token != "", F.get(numbers, (F.array_position(names, token) - 1).cast("int"))).alias("id")))
+    return found
+
+
 def split_on(t: Column, c: str, behavior: str) -> Column:
     """At a character."""
     q = quote(c)

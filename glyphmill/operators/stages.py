@@ -10,6 +10,9 @@ from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from itertools import groupby
 
+import regex
+from regex import _regex_core as regex_core
+
 from .aligned import CONTIGUOUS, ISOLATED, NEXT, REMOVED, WHITE, Aligned, Pattern
 
 # fixed values: the pattern and the byte alphabet of byte-level tokenizers
@@ -113,11 +116,12 @@ def _fixed_length(a: Aligned, size: int) -> list[Aligned]:
 
 #: First code points of runs of one script, and the scripts; built once from the Unicode property of `regex`.
 _SCRIPTS: tuple[list[int], list[str]] | None = None
-# fixed values: scripts told apart
-_SCRIPT_NAMES = (
-    "Latin Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan "
-    "Myanmar Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han Yi Braille Inherited Common"
-).split()
+
+
+def _script_names() -> list[str]:
+    """One name for each script that `regex` knows."""
+    values = regex_core.PROPERTIES["SCRIPT"][1]
+    return sorted({number: name for name, number in sorted(values.items(), key=lambda x: len(x[0]))}.values())
 
 
 def script(c: str) -> str:
@@ -126,19 +130,17 @@ def script(c: str) -> str:
     if c == " ":
         return "Any"
     if c == "ー":
-        return "Han"
+        return "HAN"
     if _SCRIPTS is None:
-        import regex
-
         text = "".join(chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000)
-        found = sorted((ord(m[0][0]), ord(m[0][-1]), name) for name in _SCRIPT_NAMES for m in regex.finditer(rf"\p{{Script={name}}}+", text))
+        found = sorted((ord(m[0][0]), ord(m[0][-1]), name) for name in _script_names() if name not in ("UNKNOWN", "ZZZZ") for m in regex.finditer(rf"\p{{Script={name}}}+", text))
         firsts, names, end = [0], ["Any"], -1
         for a, b, name in found:
             if a > end + 1:
                 firsts.append(end + 1)
                 names.append("Any")
             firsts.append(a)
-            names.append({"Hiragana": "Han", "Katakana": "Han"}.get(name, name))
+            names.append("HAN" if name in ("HIRAGANA", "KATAKANA", "HANI") else name)
             end = b
         _SCRIPTS = ([*firsts, end + 1], [*names, "Any"])
     return _SCRIPTS[1][bisect_right(_SCRIPTS[0], ord(c)) - 1]

@@ -11,7 +11,7 @@ from ..functions import alignment, expr, templates
 from ..operators import stages
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec, Tokenizer
-from . import dictionary, unigram
+from . import batches, dictionary, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -299,6 +299,40 @@ h AS (SELECT f.word, f.s[-1] AS score, list_transform(list_zip(p, list_concat([N
 SELECT word, score, array_to_string(list_transform(q, lambda x: x.t), '') AS pieces, array_to_string(list_transform(q, lambda x: x.id), '') AS ids FROM h"""
 
 
+# runs of one script; the space joins what is before it
+_SQL_SCRIPTS = (r"\p{Latin}", r"\p{Greek}", r"\p{Cyrillic}", r"\p{Han}\p{Hiragana}\p{Katakana}ー")
+_SQL_RUNS = "|".join(f"[{c}][ {c}]*" for c in _SQL_SCRIPTS)
+_arrays("pretok_scripts", lambda t: expr.unicode_scripts(t, expr.script_names()), _all(f" *(?:{_SQL_RUNS}|[^ {''.join(_SQL_SCRIPTS)}][^{''.join(_SQL_SCRIPTS)}]*)"))
+
+# many added tokens that begin alike: beginnings of words, numbers
+ADDED = {t: 1000 + i for i, t in enumerate(dict.fromkeys([*(a + b for a in "tshiwde" for b in _LETTERS), *(w[:n] for w in ("there", "therefore", "their", "and", "another", "information", "international", "ein", "einer", "der", "die", "que", "les") for n in range(2, len(w) + 1)), *map(str, range(100))]))}
+
+
+def added_token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each document by several hundred added tokens, with their ids."""
+    found = _docs(spark, sf_dir).select("doc_id", expr.added_tokens(F.col("text"), ADDED).alias("s"))
+    shown = F.transform("s", lambda x: F.concat(F.coalesce(x["id"].cast("string"), F.lit("-")), F.lit(":"), x["text"]))
+    return found.select("doc_id", F.size("s").alias("n"), F.size(F.filter("s", lambda x: x["id"].isNotNull())).alias("n_added"), F.md5(F.array_join(shown, "\x1f")).alias("digest"))
+
+
+def pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 64 documents of nearly equal length, padded to their longest, a multiple of 8."""
+    ids = _docs(spark, sf_dir).select("doc_id", _lengths(F.col("text")).alias("ids")).withColumn("n", F.size("ids"))
+    return batches.padded(ids, 64, ["doc_id"], multiple=8).select("doc_id", "batch", "place", "n", "target", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
+
+
+QUERIES |= {f.__name__: f for f in (added_token_split, pad_batches)}
+_ADDED_SQL = "|".join(sorted(ADDED, key=lambda t: (-len(t), t)))
+_ADDED_IDS = ", ".join(f"('{t}', {i})" for t, i in ADDED.items())
+SQL["added_token_split"] = f"""WITH v(w, id) AS (VALUES {_ADDED_IDS}),
+s AS (SELECT doc_id, unnest(g) AS w, unnest(range(len(g))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '({_ADDED_SQL})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS g FROM documents)),
+k AS (SELECT doc_id, s.w, i, CASE WHEN i % 2 = 1 THEN id END AS id FROM s LEFT JOIN v ON s.w = v.w WHERE s.w <> ''),
+d AS (SELECT doc_id, count(*)::INT AS n, count(id)::INT AS n_added, string_agg(coalesce(id::VARCHAR, '-') || ':' || w, chr(31) ORDER BY i) AS t FROM k GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n, coalesce(n_added, 0) AS n_added, md5(coalesce(t, '')) AS digest FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
+SQL["pad_batches"] = f"""WITH t AS (SELECT doc_id, a, len(a)::INT AS n, row_number() OVER (ORDER BY len(a), doc_id) - 1 AS r FROM (SELECT doc_id, {_DUCK_LENGTHS} AS a FROM documents)),
+b AS (SELECT *, r // 64 AS batch, (ceil(max(n) OVER (PARTITION BY r // 64) / 8.0) * 8)::INT AS target FROM t)
+SELECT doc_id, batch, (r % 64)::INT AS place, n, target, md5(array_to_string(list_concat(a, list_transform(range(target - n), lambda x: 0)), ',')) AS digest FROM b"""
+
 # pairs and templates by kernels
 _PLAIN = {"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer": {"type": "WhitespaceSplit"}}
 _COUNT = r"len(list_filter(regexp_split_to_array({}, '[ \t\n\r]'), lambda x: x <> ''))"
