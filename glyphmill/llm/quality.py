@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade, in built-in expressions only.
 
 Base counts are part of every row. The further rules are conditions of which one is enough to reject; a document that
-fails one needs none of the others. So each rule's cost and selectivity are measured on a sample of about SAMPLE rows from all
-partitions, and the rules stand in the order of rejections per second in one OR, which generated code leaves at the first true
-rule. The cost is what two readings of the JVM's clock around the rule differ by, row by row and PASSES times, so that neither
-jobs nor reading count; it is rounded to a power of two, so that noise seldom changes the order. The order changes the time,
-never the verdict.
+fails one, or the base rule, needs none of the others. Rules are nested CASEs: what lies behind a condition is evaluated for the rows that
+get there, which an OR doesn't promise, as Spark evaluates what two operands share before it looks at either. What rules share (a text's
+letters, its lines) is a value bound where the cascade first needs it, for all that follows there.
+
+Each rule's cost and selectivity are measured on a sample of about SAMPLE rows from all partitions, what is shared apart. Next comes
+the rule that rejects most per second, where a rule that is the first to need a shared value pays for it. Costs are what two
+readings of the JVM's clock differ by, row by row and PASSES times, so that neither jobs nor reading count; they are
+rounded to a power of two, so that noise seldom changes the order. The order changes the time, never the verdict.
 
 Words are runs of characters other than U+0020 and U+0009 to U+000D. Null and empty texts have no words and fail the base
 rule. Three-word windows are compared by their 64-bit hash (two different windows of a text of 20,000 words share one with
@@ -28,22 +31,25 @@ SAMPLE, PASSES = 3000, 3
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected if the SQL condition over its text and base counts holds."""
+    """A document is rejected if the SQL condition over its text, base counts and shared values holds."""
 
     name: str
     reject: str
+    uses: tuple[str, ...] = ()
 
 
+#: Values that several rules need, in SQL over the text.
+SHARED = {"__letters": r"char_length(regexp_replace(text, '[^\\p{L}]+', ''))", "__rows": r"split(text, '\n')"}
 #: None of these can reject an ordinary text: each asks for a share that prose stays far from.
 RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
     Rule("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
-    Rule("capitals", r"2 * char_length(regexp_replace(text, '[^\\p{Lu}]+', '')) > char_length(regexp_replace(text, '[^\\p{L}]+', ''))"),
-    Rule("few_letters", r"2 * char_length(regexp_replace(text, '[^\\p{L}]+', '')) < word_chars"),
+    Rule("capitals", r"2 * char_length(regexp_replace(text, '[^\\p{Lu}]+', '')) > __letters", ("__letters",)),
+    Rule("few_letters", "2 * __letters < word_chars", ("__letters",)),
     Rule("exclamations", "10 * (char_length(text) - char_length(translate(text, '!?', ''))) > 3 * n_words"),
-    Rule("cut_lines", r"n_lines >= 10 AND 10 * size(filter(split(text, '\n'), x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) > 3 * n_lines"),
-    Rule("bullets", r"n_lines >= 10 AND 10 * size(filter(split(text, '\n'), x -> ltrim(x) RLIKE '^[-*•]')) > 9 * n_lines"),
+    Rule("cut_lines", "n_lines >= 10 AND 10 * size(filter(__rows, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) > 3 * n_lines", ("__rows",)),
+    Rule("bullets", "n_lines >= 10 AND 10 * size(filter(__rows, x -> ltrim(x) RLIKE '^[-*•]')) > 9 * n_lines", ("__rows",)),
 )
 
 
@@ -91,20 +97,45 @@ def sampled(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFram
 
 
 def ordered(counted: DataFrame, rules: tuple[Rule, ...] = RULES, passes: int = PASSES) -> list[tuple[Rule, float, float]]:
-    """Rules with their rejected share and seconds a row on a sample of counted rows, most rejections per second first; then as given."""
+    """Rules with their rejected share and seconds a row on a sample of counted rows, in the order of the cascade."""
+    needed = sorted({u for r in rules for u in r.uses})
     rows = counted.persist()
+    bound = rows.select("*", *(F.expr(SHARED[u]).alias(u) for u in needed)).persist()
     clock = "cast(reflect('java.lang.System', 'nanoTime') AS long)"
+
+    def measured(over: DataFrame, condition: str) -> tuple[float, float]:
+        # a generator between keeps the readings on either side of the condition
+        timed = over.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).select(F.expr(f"struct({clock} AS a, coalesce({condition}, false) AS hit, {clock} AS b)").alias("t"))
+        r = timed.agg(F.count("*").alias("n"), F.count_if("t.hit").alias("hits"), F.sum(F.col("t.b") - F.col("t.a")).alias("ns")).first()
+        n = max(1, r["n"])
+        return r["hits"] / n, 2.0 ** round(math.log2(max(1.0, (r["ns"] or 0) / n))) / 1e9
+
     try:
-        found = []
-        for rule in rules:
-            # a generator between keeps the readings on either side of the rule
-            timed = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).select(F.expr(f"struct({clock} AS a, coalesce({rule.reject}, false) AS hit, {clock} AS b)").alias("t"))
-            r = timed.agg(F.count("*").alias("n"), F.count_if("t.hit").alias("hits"), F.sum(F.col("t.b") - F.col("t.a")).alias("ns")).first()
-            n = max(1, r["n"])
-            found.append((rule, r["hits"] / n, 2.0 ** round(math.log2(max(1.0, (r["ns"] or 0) / n))) / 1e9))
+        shared = {u: measured(rows, f"({SHARED[u]}) IS NOT NULL")[1] for u in needed}
+        left = [(r, *measured(bound, r.reject)) for r in rules]
     finally:
+        bound.unpersist()
         rows.unpersist()
-    return sorted(found, key=lambda x: -x[1] / x[2])
+    found: list[tuple[Rule, float, float]] = []
+    while left:
+        paid = {u for r, _, _ in found for u in r.uses}
+        whole = [(r, share, cost + sum(shared[u] for u in r.uses if u not in paid)) for r, share, cost in left]
+        best = max(range(len(left)), key=lambda k: (whole[k][1] / whole[k][2], -k))
+        found.append(whole[best])
+        left.pop(best)
+    return found
+
+
+def cascade(order: list[Rule], base: str = "base_failed") -> str:
+    """SQL of the verdict, true for rejected: each rule behind those before it, each shared value bound where it is first needed."""
+    out = "false"
+    for k in range(len(order) - 1, -1, -1):
+        out = f"CASE WHEN coalesce({order[k].reject}, false) THEN true ELSE {out} END"
+        before = {u for r in order[:k] for u in r.uses}
+        for use in order[k].uses:
+            if use not in before:
+                out = f"get(transform(array({SHARED[use]}), {use} -> {out}), 0)"
+    return f"CASE WHEN {base} THEN true ELSE {out} END"
 
 
 OWN = ("n_words", "word_chars", "n_lines", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -113,14 +144,11 @@ OWN = ("n_words", "word_chars", "n_lines", "n_symbols", "n_dup_lines", "n_repeat
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with the base counts, base_failed and kept. Columns of df with the names of these are replaced."""
     df = df.select(*[c for c in df.columns if c not in OWN])
-    order = ordered(counts(sampled(df, text)), rules)
-    if text != "text":
-        order = [(Rule(r.name, r.reject.replace("text", f"`{text}`")), share, cost) for r, share, cost in order]
-    cascade = F.lit(False)
-    for rule, _, _ in order:
-        cascade = cascade | F.coalesce(F.expr(rule.reject), F.lit(False))
-    out = counts(df, text).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~(F.col("base_failed") | cascade))
+    renamed = df if text == "text" else df.withColumnsRenamed({"text": "__own_text"}).withColumnRenamed(text, "text")
+    out = counts(renamed).withColumn("base_failed", base_failed())
+    verdict = cascade([r for r, _, _ in ordered(counts(sampled(df, text)), rules)])
+    judged = out.withColumn("kept", ~F.expr(verdict))
+    return judged if text == "text" else judged.withColumnRenamed("text", text).withColumnsRenamed({"__own_text": "text"})
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
