@@ -86,7 +86,7 @@ def sampled(df: DataFrame, labels: DataFrame, label: str, learns: Column, bound:
     marks = labels.select(F.col(key).alias("key"), F.col(label).alias("label"), learns.alias("ok")).where("ok AND label IN (0, 1) AND key IS NOT NULL")
     chosen = common.stratified(marks.select("key", "label").distinct(), "key", "label", bound)
     rows = df.select(df[key].alias("key"), df[text].alias("text")).where("text IS NOT NULL").where(F.char_length("text") <= LONGEST)
-    found = rows.join(F.broadcast(chosen), "key").orderBy("key", "label").select("label", "text").collect()
+    found = common.one_text(rows.join(F.broadcast(chosen), "key"), "key", "label").orderBy("key", "label").select("label", "text").collect()
     return [(r[0], r[1]) for r in found]
 
 
@@ -344,5 +344,6 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, learns: Column, unlabelled: C
     toxic = [t for mark, t in sampled(df, labels.where("toxic = 1"), "toxic", learns, bound) if mark]
     rows = df.where(unlabelled).select(F.col("doc_id").alias("key"), F.lit(0).alias("all")).where("key IS NOT NULL")
     chosen = rows.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(bound * 2).select("key").distinct()
-    texts = df.select(df["doc_id"].alias("key"), "text").where("text IS NOT NULL").where(F.char_length("text") <= LONGEST).join(F.broadcast(chosen), "key", "left_semi").orderBy("key").select("text").collect()
+    read = df.select(df["doc_id"].alias("key"), "text").where("text IS NOT NULL").where(F.char_length("text") <= LONGEST)
+    texts = common.one_text(read.join(F.broadcast(chosen), "key", "left_semi"), "key").orderBy("key").select("text").collect()
     return train_marks(toxic, [r[0] for r in texts])

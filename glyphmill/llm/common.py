@@ -119,6 +119,11 @@ def stratified(rows: DataFrame, key: str, stratum: str, bound: int) -> DataFrame
     return rows
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of rows that share the keys the text with the smallest digest: a bound on ids is one on texts, however often an id comes."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 class Memo(dict):
     """word -> value, computed once; fresh() drops everything when too many words have come."""
 

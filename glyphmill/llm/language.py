@@ -9,7 +9,10 @@ the language: their log likelihood by n-gram, on a scale from that of n-grams at
 Words are runs of characters between white space. Null texts and texts mostly of `und` letters are `und` with score 0. Ties go to
 the language that sorts first. Repeated rows are labelled each for itself.
 
-The model learns from at most PER_LANGUAGE whole documents of each language. It holds the n-gram counts in a table of
+Very long texts are labelled whole. Empty tables give empty ones; without labelled texts all labels are `und`. Other columns of the
+tables aren't read, whatever their names, and keep() leaves all as they are.
+
+The model learns from at most PER_LANGUAGE whole documents of each language, one for each id. It holds the n-gram counts in a table of
 fixed size, so that what is broadcast doesn't grow with the corpus.
 """
 
@@ -210,15 +213,16 @@ class Labeller:
             t, at = before, int(top[before])
         return out
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Label, score and spans (first word, word after the last, label); spans hold words with letters only."""
+    def label(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str]], str | None]:
+        """Label, score, spans (first word, word after the last, label) and the learned language with the most letters, whatever the
+        `und` ones; spans hold words with letters only, and without a letter there is no such language."""
         if self.memo.fresh():
             self.forms.clear()
         words = self.numbers(text.lower().split()) if text else np.zeros(0, np.int64)
         lengths = self.lengths[words]
         at = np.flatnonzero(lengths)
         if not len(at) or not self.m.languages:
-            return UNDETERMINED, 0.0, []
+            return UNDETERMINED, 0.0, [], None
         own = words[at]
         known = self.grams[own] > 0
         path = np.full(len(own), -1)
@@ -230,9 +234,9 @@ class Labeller:
         spans = [(int(at[a]), int(at[b - 1]) + 1, names[path[a]]) for a, b in zip(bounds, bounds[1:])]
         top = int(share[1:].argmax())
         if share[0] >= share[top + 1]:
-            return UNDETERMINED, 0.0, spans
+            return UNDETERMINED, 0.0, spans, names[top]
         mine = own[path == top]
-        return names[top], float(share[top + 1] / share.sum()) * self.fit(mine, top), spans
+        return names[top], float(share[top + 1] / share.sum()) * self.fit(mine, top), spans, names[top]
 
     def fit(self, words: np.ndarray, k: int) -> float:
         """How well words fit language k, from 0 to 1."""
@@ -247,13 +251,15 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     rows = rows.where("ok AND lang IS NOT NULL AND text IS NOT NULL AND key IS NOT NULL").where(F.char_length("text") <= LONGEST)
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     rows = rows.join(F.broadcast(most), "lang", "left_semi")
-    chosen = common.stratified(rows.select("key", "lang"), "key", "lang", per_language)  # without the texts
-    found = rows.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").orderBy("key").select("lang", "text").collect()
+    # without the texts; ids that repeat count once, and so do their texts
+    chosen = common.stratified(rows.select("key", "lang").distinct(), "key", "lang", per_language)
+    found = common.one_text(rows.join(F.broadcast(chosen), ["key", "lang"]), "key", "lang").orderBy("key", "lang").select("lang", "text").collect()
     return learn([(r[0], r[1]) for r in found])
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
-    """key, lang_pred, score, n_spans and, if asked for, spans (of words: first, after the last, lang)."""
+    """key, lang_pred, score, n_spans, lang_best (the learned language that comes nearest, null without a letter) and, if asked for,
+    spans (of words: first, after the last, lang)."""
     known = df.sparkSession.sparkContext.broadcast(model)  # CELLS rows, whatever the corpus
 
     token = common.token()
@@ -263,7 +269,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
         def each(batch):
             found = [labeller.label(t) for t in batch.column(1).to_pylist()]
-            out = {"key": batch.column(0), "lang_pred": pa.array([f[0] for f in found]), "score": pa.array([f[1] for f in found], pa.float64()), "n_spans": pa.array([len(f[2]) for f in found], pa.int32())}
+            out = {"key": batch.column(0), "lang_pred": pa.array([f[0] for f in found]), "score": pa.array([f[1] for f in found], pa.float64()), "n_spans": pa.array([len(f[2]) for f in found], pa.int32()), "lang_best": pa.array([f[3] for f in found], pa.string())}
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 out["spans"] = pa.array([[dict(zip(("start", "end", "lang"), s)) for s in f[2]] for f in found], kind)
@@ -272,7 +278,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         return each
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, lang_pred string, score double, n_spans int" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    schema = f"key {kind}, lang_pred string, score double, n_spans int, lang_best string" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     return common.arrow_map(df.select(df[key].alias("key"), df[text].alias("text")), schema, start).withColumnRenamed("key", key)
 
 
@@ -284,7 +290,7 @@ def keep(df: DataFrame, model: Model, least_share: float, text: str = "text", wo
         labeller = common.per_worker("language", token, lambda: Labeller(known.value, words))
         for batch in batches:
             found = (labeller.label(t) for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_share for lang, score, _ in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_share for lang, score, *_ in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
