@@ -1,17 +1,19 @@
 """Pipelines over DataFrames: text columns to encodings and back, in one pass without a shuffle.
 
-Kernels run in Arrow batches with the spec broadcast. Words are remembered per task. Where only token frequencies or
+Kernels run in Arrow batches with the spec broadcast, over portions of bounded bytes. Workers keep a query's tokenizer, with the words that it
+remembers, from task to task. Where only token frequencies or
 counts are asked for, token_frequencies() runs the model once for each distinct word (plans.words).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions import templates
 from .tokenizer import Encoding, Spec, Tokenizer
@@ -33,26 +35,75 @@ _INTS = pa.list_(pa.int32())
 _ARROW = pa.struct([("ids", _INTS), ("type_ids", _INTS), ("tokens", pa.list_(pa.string())), ("words", _INTS), ("offsets", pa.list_(_ARROW_SPAN)), ("special_tokens_mask", _INTS), ("attention_mask", _INTS), ("sequence_ranges", pa.map_(pa.int32(), _ARROW_SPAN))])
 
 
-def _added_column(df: DataFrame, name: str, kind: str, arrow: pa.DataType, inputs: list[str], make: Callable[[], Callable]) -> DataFrame:
-    """df with one more column, made of the inputs row by row; null if an input is null. Errors end the task."""
+#: Bytes of texts and the rows that are worked on, and handed on, at a time.
+PORTION = 4 << 20
+#: Workers keep what they have built for the latest query.
+_KEPT: dict[str, Callable] = {}
+#: The column of an error message beside a permissive result, and the name under which errors are counted.
+ERRORS = "errors"
+
+
+def _portions(batch: pa.RecordBatch, at: list[int]) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about PORTION bytes in the columns read, so that rows of long texts don't pile up."""
+    if not batch.num_rows:
+        return
+    rows = max(1, batch.num_rows * PORTION // max(PORTION, sum(batch.column(i).nbytes for i in at)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def _added_column(df: DataFrame, name: str, kind: str, arrow: pa.DataType, inputs: list[str], make: Callable[[], Callable], permissive: bool = False) -> DataFrame:
+    """df with one more column, made of the inputs row by row; null if an input is null.
+
+    Errors of a row end the task, or, if permissive, make its value struct<value, error>: null and the message. A bad value is then one row's
+    affair; how many there are can be observed while the query runs (observed()).
+    """
     df = df.drop(name)
     at = [df.columns.index(i) for i in inputs]
+    if permissive:
+        kind, arrow = f"struct<value:{kind},error:string>", pa.struct([("value", arrow), ("error", pa.string())])
     schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        if token not in _KEPT:
+            _KEPT.clear()
+            _KEPT[token] = make()
+        f = _KEPT[token]
+
+        def one(*row):
+            if not permissive:
+                return f(*row)
+            try:
+                return {"value": f(*row), "error": None}
+            except ValueError as e:  # of specs, templates and patterns
+                return {"value": None, "error": str(e)}
+
         for batch in batches:
-            values = [None if any(v is None for v in row) else f(*row) for row in zip(*(batch.column(i).to_pylist() for i in at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], [*batch.schema.names, name])
+            for part in _portions(batch, at):
+                values = [None if any(v is None for v in row) else one(*row) for row in zip(*(part.column(i).to_pylist() for i in at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
 
+def observed(df: DataFrame, column: str) -> tuple[DataFrame, Observation]:
+    """df, and what a permissive column of it says once a query over it has run: rows, and errors among them."""
+    counts = Observation(f"{column} {ERRORS}")
+    return df.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(column)["error"].isNotNull()).alias(ERRORS)), counts
+
+
 class TextPipeline:
-    """A spec bound to DataFrames."""
+    """A spec bound to DataFrames.
+
+    errors: "fail" ends the query at a row that can't be encoded (a character that the model doesn't know, and no unknown token);
+    "permissive" makes encodings, ids and counts struct<value, error>.
+    """
 
-    def __init__(self, spec: Spec):
-        self.spec = spec
+    def __init__(self, spec: Spec, errors: str = "fail"):
+        if errors not in ("fail", "permissive"):
+            raise ValueError(f"errors must be fail or permissive, not {errors!r}")
+        self.spec, self.permissive = spec, errors == "permissive"
 
     def encode(self, df: DataFrame, text: str = "text", out: str = "encoding", add_special: bool = True, pair: str | None = None) -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
@@ -61,7 +112,7 @@ class TextPipeline:
             t = Tokenizer(known.value)
             return (lambda a, b: _row(t.encode_pair(a, b, add_special))) if pair else (lambda a: _row(t.encode(a, add_special)))
 
-        return _added_column(df, out, ENCODING, _ARROW, [text, pair] if pair else [text], make)
+        return _added_column(df, out, ENCODING, _ARROW, [text, pair] if pair else [text], make, self.permissive)
 
     def encode_chat(self, df: DataFrame, config: Config, messages: str = "messages", out: str = "encoding", name: str = "default", add_generation_prompt: bool = True, add_special: bool = True, args: dict | None = None) -> DataFrame:
         """Encodings of what a named template of the configuration makes of messages."""
@@ -70,7 +121,7 @@ class TextPipeline:
 
     def ids(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
-        return _added_column(df, out, "array<int>", _INTS, [text], lambda: Tokenizer(known.value).ids)
+        return _added_column(df, out, "array<int>", _INTS, [text], lambda: Tokenizer(known.value).ids, self.permissive)
 
     def count_tokens(self, df: DataFrame, text: str = "text", out: str = "n_tokens") -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
@@ -79,7 +130,7 @@ class TextPipeline:
             t = Tokenizer(known.value)
             return lambda x: len(t.ids(x))
 
-        return _added_column(df, out, "int", pa.int32(), [text], make)
+        return _added_column(df, out, "int", pa.int32(), [text], make, self.permissive)
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "text", skip_special: bool = True) -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
@@ -121,7 +172,7 @@ class TextPipeline:
         if (self.spec.pre_tokenizer or {}).get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") and not self.spec.added:
             word = F.explode(F.split(word, r"(?U)\s+"))
         words = df.select(word.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-        tokens = self.encode(words, "word", "e", add_special=False).select("n", F.explode(F.arrays_zip("e.ids", "e.tokens")).alias("t"))
+        tokens = TextPipeline(self.spec).encode(words, "word", "e", add_special=False).select("n", F.explode(F.arrays_zip("e.ids", "e.tokens")).alias("t"))
         return tokens.groupBy(F.col("t.ids").alias("id"), F.col("t.tokens").alias("token")).agg(F.sum("n").alias("n"))
 
     def register_sql(self, spark: SparkSession, prefix: str = "") -> None:

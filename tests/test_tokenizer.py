@@ -1,9 +1,11 @@
 import json
 
+import pyarrow as pa
 import pytest
 
+from glyphmill.operators import frames
 from glyphmill.operators.chat import Template, TemplateError
-from glyphmill.operators.frames import TextPipeline
+from glyphmill.operators.frames import TextPipeline, observed
 from glyphmill.operators.stages import SpecError
 from glyphmill.operators.tokenizer import Encoding, Spec, Tokenizer
 from glyphmill.sources import spec as sources
@@ -59,6 +61,28 @@ def test_frames_and_sql(spark):
     assert {(r["id"], r["n"]) for r in p.token_frequencies(df.where("text is not null")).collect()} == {(0, 1), (1, 1)}
 
 
+def test_errors_of_rows(spark):
+    strict = Spec.of({"model": {"type": "WordLevel", "vocab": {"a": 0, "b": 1}, "unk_token": "none"}, "pre_tokenizer": {"type": "WhitespaceSplit"}})
+    df = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, None), (4, "")], "id int, text string").repartition(2)
+    with pytest.raises(Exception, match="no unknown token"):
+        TextPipeline(strict).ids(df).collect()
+    found, counts = observed(TextPipeline(strict, errors="permissive").ids(df), "ids")
+    got = {r["id"]: r["ids"] for r in found.collect()}
+    assert got[1] == ([0, 1], None) and got[2]["value"] is None and "no unknown token" in got[2]["error"] and got[3] is None and got[4] == ([], None)
+    assert counts.get == {"rows": 4, "errors": 1}
+    assert {r["id"]: r["n"] and r["n"]["value"] for r in TextPipeline(strict, errors="permissive").count_tokens(df, out="n").collect()} == {1: 2, 2: None, 3: None, 4: 0}
+    with pytest.raises(ValueError):
+        TextPipeline(strict, errors="ignore")
+
+
+def test_long_texts_come_in_portions(monkeypatch):
+    monkeypatch.setattr(frames, "PORTION", 1000)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "t": ["x" * 200] * 100})
+    parts = list(frames._portions(batch, [1]))
+    assert sum(p.num_rows for p in parts) == 100 and max(p.num_rows for p in parts) <= 5
+    assert list(frames._portions(batch.slice(0, 0), [1])) == [] and len(list(frames._portions(batch, [0]))) == 1
+
+
 def test_streaming(spark, tmp_path):
     from glyphmill.streaming.encode import encode_stream
 
