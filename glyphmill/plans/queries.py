@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import alignment, expr, templates
+from ..functions import alignment, expr, tables, templates
 from ..operators import stages
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec, Tokenizer
@@ -333,6 +333,20 @@ SQL["pad_batches"] = f"""WITH t AS (SELECT doc_id, a, len(a)::INT AS n, row_numb
 b AS (SELECT *, r // 64 AS batch, (ceil(max(n) OVER (PARTITION BY r // 64) / 8.0) * 8)::INT AS target FROM t)
 SELECT doc_id, batch, (r % 64)::INT AS place, n, target, md5(array_to_string(list_concat(a, list_transform(range(target - n), lambda x: 0)), ',')) AS digest FROM b"""
 
+def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by a table function in SQL, over the corpus' TOP most frequent words: their number, the unknown ones, and a sum that tells their order."""
+    docs = _docs(spark, sf_dir)
+    vocab = {r["token"]: r["id"] for r in _vocabulary(docs).select("token", "id").collect()}  # TOP at most
+    tables.register(spark, Spec.of({"model": {"type": "WordLevel", "vocab": {"[UNK]": 0} | vocab}, "pre_tokenizer": {"type": "Whitespace"}, "normalizer": {"type": "Lowercase"}}), "corpus_")
+    sql = "SELECT doc_id, count(*) AS n_tokens, count_if(id = 0) AS n_unknown, sum((word % 1000 + 1) * id) AS checksum FROM {docs} d, LATERAL corpus_tokens(d.text) t GROUP BY doc_id"
+    return spark.sql(sql, docs=docs.select("doc_id", "text"))
+
+
+QUERIES["sql_tokens"] = sql_tokens
+SQL["sql_tokens"] = f"""WITH {_VOCAB_SQL},
+p AS (SELECT doc_id, unnest(g) AS token, unnest(range(len(g))) AS i FROM (SELECT doc_id, {_TOKENS.replace("(text", "(lower(text)")} AS g FROM documents))
+SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (id IS NULL) AS n_unknown, sum((i % 1000 + 1) * coalesce(id, 0))::BIGINT AS checksum FROM p LEFT JOIN vocab ON p.token = vocab.token GROUP BY doc_id"""
+
 # pairs and templates by kernels
 _PLAIN = {"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer": {"type": "WhitespaceSplit"}}
 _COUNT = r"len(list_filter(regexp_split_to_array({}, '[ \t\n\r]'), lambda x: x <> ''))"
