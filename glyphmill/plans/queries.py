@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,8 @@ from ..functions import alignment, expr, tables, templates
 from ..operators import stages
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec, Tokenizer
-from . import batches, dictionary, unigram
+from ..sources import spec as spec_files, tables as sources
+from . import batches, dictionary, lineage, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +149,20 @@ def wordlevel_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (vocab_top_k, token_freq, wordlevel_unk_rate, wordlevel_ids)}
+
+
+def vocabulary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' vocabulary, written into a spec by the tokenizer data source, and read back from there."""
+    spark.dataSource.register(sources.TokenizerSource)
+    base, path = (f"{lineage.shared_folder(spark)}/vocabulary-{uuid.uuid4().hex}/{n}.json" for n in ("base", "tokenizer"))
+    spec_files.save(Spec.of({"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}}), base)
+    unknown = spark.createDataFrame([("[UNK]", 0)], "token string, id int")
+    _vocabulary(_docs(spark, sf_dir)).select("token", "id").unionByName(unknown).write.format("tokenizer").mode("overwrite").option("base", base).save(path)
+    return spark.read.format("tokenizer").load(path)
+
+
+QUERIES["vocabulary_source"] = vocabulary_source
+SQL["vocabulary_source"] = f"WITH {_VOCAB_SQL} SELECT token, id FROM vocab UNION ALL SELECT '[UNK]', 0"
 SQL["vocab_top_k"] = f"WITH {_VOCAB_SQL} SELECT token, id, n FROM vocab"
 SQL["token_freq"] = f"WITH {_VOCAB_SQL} SELECT token, count(*) AS n FROM words GROUP BY token"
 SQL["wordlevel_unk_rate"] = f"WITH {_VOCAB_SQL} SELECT lang, count(*) AS n_tokens, sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_unknown, sum(coalesce(id, 0))::BIGINT AS id_sum FROM words LEFT JOIN vocab ON words.token = vocab.token GROUP BY lang"

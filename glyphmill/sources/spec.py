@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from dataclasses import dataclass, field
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.stages import SpecError
@@ -44,8 +47,37 @@ def load_config(spark: SparkSession, path: str) -> Config:
 
 
 def save(spec: Spec, path: str, pretty: bool = True) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(spec.to_json(pretty))
+    """Writes a file on any file system that can be named by a URI; readers see the old file or the new one."""
+    write_text(path, spec.to_json(pretty))
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI, or the local one, and the path there."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def write_text(path: str, text: str) -> None:
+    """A file as a whole: written beside its place, then moved there."""
+    system, place = _located(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    aside = f"{os.path.dirname(place)}/.{os.path.basename(place)}.{uuid.uuid4().hex}"
+    try:
+        with system.open_output_stream(aside) as out:
+            out.write(text.encode())
+        system.move(aside, place)
+    except BaseException:
+        if system.get_file_info(aside).type != fs.FileType.NotFound:
+            system.delete_file(aside)
+        raise
+
+
+def read_text(path: str) -> str:
+    """A whole file, where there is no session to read it (in a data source's tasks)."""
+    system, place = _located(path)
+    with system.open_input_stream(place) as source:
+        return source.read().decode()
 
 
 def vocabulary(spark: SparkSession, spec: Spec) -> DataFrame:
@@ -60,33 +92,65 @@ def merges(spark: SparkSession, spec: Spec) -> DataFrame:
     return spark.createDataFrame(rows, "left_id int, right_id int, rank int, new_id int")
 
 
-def from_nlcodec(text: str) -> Spec:
-    """A BPE model file (a JSON header after '#', then tab-separated index, name, level, frequency and parts) as a spec."""
-    lines = text.splitlines()
-    if not lines or not lines[0].startswith("#"):
+# fixed values: what converted specs have in common with those of the format's other readers
+SPACE, ALIAS = "▁", "\U000F0000nlcodec_duplicate_"
+NLCODEC_BLANKS = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _nlcodec_names(text: str) -> list[str]:
+    """The tokens of a BPE model file by their index: a JSON header after '#', then tab-separated index, name, level, frequency, parts."""
+    head, *lines = text.split("\n")
+    try:
+        about = json.loads(head[1:]) if head.startswith("#{") else None
+    except ValueError as e:
+        raise SpecError(f"header: {e}") from e
+    if about is None:
         raise SpecError("header missing")
-    header = json.loads(lines[0][1:])
-    if header.get("scheme") != "bpe":
-        raise SpecError("only the scheme bpe can be converted")
+    names: list[str] = []
+    for number, line in enumerate(lines[: -1 if lines and not lines[-1] else None], 2):
+        cells = line.rstrip("\r").split("\t")
+        try:
+            index, *_ = numbers = [int(cells[k]) for k in (0, 2, 3)]
+            parts = [int(c) for c in cells[4].split()] if len(cells) > 4 else []
+        except (ValueError, IndexError) as e:
+            raise SpecError(f"line {number}: four columns, of which three are numbers, are expected") from e
+        if index != len(names) or len(numbers) != 3:
+            raise SpecError(f"line {number}: indexes must follow each other")
+        if not all(0 <= c < index for c in parts):
+            raise SpecError(f"line {number}: parts must come before the whole")
+        names.append(cells[1])
+    scheme = about.get("scheme", "bpe" if about.get("max_level") == 1 else None)  # older files tell by their levels
+    if scheme != "bpe":
+        raise SpecError(f"only the scheme bpe can be converted, not {scheme}")
+    if about.get("total", len(names)) != len(names) or not names:
+        raise SpecError(f"the header tells of {about.get('total')} tokens, the file has {len(names)}")
+    return names
+
+
+def from_nlcodec(text: str, unknown: str = "<unk>") -> Spec:
+    """A BPE model file as a spec: greedy longest pieces of texts whose white space is one mark, with the file's ids.
+
+    A spelling that comes again gets an alias, which encoding never finds and decoding writes as the spelling.
+    """
     vocab: dict[str, int] = {}
-    rows = [line.split("\t") for line in lines[1:] if line]
-    for i, row in enumerate(rows):
-        if len(row) < 4 or int(row[0]) != i:
-            raise SpecError(f"row {i}: indexes must follow each other")
-        if row[1] in vocab:
-            raise SpecError(f"row {i}: {row[1]} comes twice")
-        if len(row) > 4 and row[4] and any(not 0 <= int(c) < i for c in row[4].split()):
-            raise SpecError(f"row {i}: parts must come before the whole")
-        vocab[row[1]] = i
-    if "total" in header and header["total"] != len(rows):
-        raise SpecError("the header's total differs")
-    unknown = next((t for t in vocab if t in ("<unk>", "[UNK]")), "<unk>")
+    aliases: list[tuple[str, str]] = []
+    names = _nlcodec_names(text)
+    for i, name in enumerate(names):
+        if name in vocab:
+            aliases.append((f"{ALIAS}{i}", name))
+            name = aliases[-1][0]
+        if name in vocab or name.startswith(ALIAS) and (not aliases or name != aliases[-1][0]):
+            raise SpecError(f"{name!r} is a spelling of the file and an alias")
+        vocab[name] = i
+    for needed in (unknown, SPACE):
+        if needed not in vocab:
+            raise SpecError(f"{needed!r} is no token of the file")
     return Spec.of({
         "model": {"type": "WordPiece", "vocab": vocab, "unk_token": unknown, "continuing_subword_prefix": "", "max_input_chars_per_word": 2**31 - 1, "fuse_unk": False},
         "normalizer": {"type": "Sequence", "normalizers": [
             {"type": "Strip", "strip_left": True, "strip_right": True},
-            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": "▁"},
-            {"type": "Replace", "pattern": {"Regex": "$"}, "content": "▁"}]},
-        "pre_tokenizer": {"type": "Split", "pattern": {"String": "▁"}, "behavior": "MergedWithPrevious", "invert": False},
-        "decoder": {"type": "BPEDecoder", "suffix": "▁"},
+            {"type": "Replace", "pattern": {"Regex": NLCODEC_BLANKS}, "content": SPACE},
+            {"type": "Replace", "pattern": {"Regex": "$"}, "content": SPACE}]},
+        "pre_tokenizer": {"type": "Split", "pattern": {"String": SPACE}, "behavior": "MergedWithPrevious", "invert": False},
+        "decoder": {"type": "Sequence", "decoders": [*({"type": "Replace", "pattern": {"String": a}, "content": name} for a, name in aliases), {"type": "BPE", "suffix": SPACE}]},
     })

@@ -44,13 +44,6 @@ def test_spec_round_trip_and_errors(spark, tmp_path):
             Spec.parse(bad)
 
 
-def test_nlcodec():
-    lines = ['#{"scheme": "bpe", "total": 3}', "0\t<unk>\t-1\t0", "1\ta\t0\t5", "2\ta▁\t1\t4\t1 1"]
-    assert Tokenizer(sources.from_nlcodec("\n".join(lines))).encode(" a ").ids == [2]
-    with pytest.raises(SpecError):
-        sources.from_nlcodec("\n".join([*lines, "3\ta\t0\t1"]))
-
-
 def test_frames_and_sql(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (2, None, "y"), (3, "", "z")], "id long, text string, ids string")
     p = TextPipeline(Spec.of(BASE))
