@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions import alignment, expr, tables, templates
+from ..functions import alignment, encodings, expr, tables, templates
 from ..operators import stages
 from ..operators.frames import TextPipeline
 from ..operators.tokenizer import Spec, Tokenizer
@@ -368,18 +368,22 @@ _PLAIN = {"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "pre_tokenizer"
 _COUNT = r"len(list_filter(regexp_split_to_array({}, '[ \t\n\r]'), lambda x: x <> ''))"
 
 
+def _digest_of(e: str) -> Column:
+    return F.md5(F.array_join(F.transform(F.concat(*(F.col(f"{e}.{f}") for f in encodings.FIELDS)), lambda x: x.cast("string")), ","))
+
+
 def pair_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, tokens of the second sequence and special ones of the pair of text and language."""
-    spec = Spec.of(_PLAIN | {"post_processor": {"type": "BertProcessing", "cls": ["[CLS]", 1], "sep": ["[SEP]", 2]}})
-    found = TextPipeline(spec).encode(_docs(spark, sf_dir), "text", "e", pair="lang")
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
-    return found.select("doc_id", F.size("e.ids").alias("n"), total("e.type_ids").alias("n_second"), total("e.special_tokens_mask").alias("n_special"))
+    """Each text's words and its marks and words (as ids, their lengths) as a pair, cut to 512 and filled up to a multiple of 8."""
+    bert = {"type": "BertProcessing", "cls": ["[CLS]", 101], "sep": ["[SEP]", 102]}
+    words = F.transform(expr.whitespace_split(F.col("text")), F.char_length)
+    pair = encodings.truncated(encodings.processed(bert, words, _lengths(F.col("text"))), 512)
+    cut = _docs(spark, sf_dir).select("doc_id", pair.alias("e"))
+    return cut.select("doc_id", encodings.padded(F.col("e"), expr.rounded(F.size("e.ids"), 8)).alias("e")).select("doc_id", F.size("e.ids").alias("n"), _digest_of("e").alias("digest"))
 
 
 def post_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    template = {"type": "TemplateProcessing", "single": "[CLS] $A:3 [SEP]:5", "special_tokens": {t: {"id": t, "ids": [i], "tokens": [t]} for i, t in ((7, "[CLS]"), (8, "[SEP]"))}}
-    found = TextPipeline(Spec.of(_PLAIN | {"post_processor": template})).encode(_docs(spark, sf_dir), "text", "e")
-    return found.select("doc_id", F.size("e.ids").alias("n"), F.element_at("e.ids", 1).alias("first"), F.element_at("e.ids", -1).alias("last"), F.aggregate("e.type_ids", F.lit(0), lambda a, x: a + x).alias("type_sum"))
+    template = {"type": "TemplateProcessing", "single": "[CLS] $A:3 [SEP]:5", "special_tokens": {t: {"id": t, "ids": i, "tokens": [t] * len(i)} for i, t in (([7, 9], "[CLS]"), ([8], "[SEP]"))}}
+    return _docs(spark, sf_dir).select("doc_id", encodings.processed(template, _lengths(F.col("text"))).alias("e")).select("doc_id", F.size("e.ids").alias("n"), _digest_of("e").alias("digest"))
 
 
 def decode_bytefallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,10 +400,16 @@ def decode_bytefallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (pair_encode, post_template, decode_bytefallback)}
-SQL["pair_encode"] = f"SELECT doc_id, ({_COUNT.format('text')} + {_COUNT.format('lang')} + 3)::INT AS n, ({_COUNT.format('lang')} + 1)::INT AS n_second, 3 AS n_special FROM documents"
-SQL["post_template"] = f"SELECT doc_id, ({_COUNT.format('text')} + 2)::INT AS n, 7 AS first, 8 AS last, (3 * {_COUNT.format('text')} + 5)::INT AS type_sum FROM documents"
-# without its last byte, a word ends in a part of a character unless that one is of ASCII
 _WORDS_SQL = r"list_filter(regexp_split_to_array(text, '[ \t\n\r]'), lambda x: x <> '')"
+_SAME = "list_transform(range({}), lambda x: {})"  # so many of one number
+SQL["pair_encode"] = f"""WITH w AS (SELECT doc_id, list_transform({_WORDS_SQL}, lambda x: len(x)::INT) AS a, {_DUCK_LENGTHS} AS b FROM documents),
+e AS (SELECT doc_id, list_concat(list_concat(list_concat(list_concat([101], a), [102]), b), [102])[1:512] AS ids, list_concat({_SAME.format("len(a) + 2", 0)}, {_SAME.format("len(b) + 1", 1)})[1:512] AS t,
+  list_concat(list_concat(list_concat(list_concat([1], {_SAME.format("len(a)", 0)}), [1]), {_SAME.format("len(b)", 0)}), [1])[1:512] AS s FROM w),
+p AS (SELECT *, ((len(ids) + 7) // 8 * 8 - len(ids))::INT AS m FROM e)
+SELECT doc_id, (len(ids) + m)::INT AS n, md5(array_to_string(list_concat(list_concat(list_concat(list_concat(ids, {_SAME.format("m", 0)}), list_concat(t, {_SAME.format("m", 0)})), list_concat(s, {_SAME.format("m", 1)})), list_concat({_SAME.format("len(ids)", 1)}, {_SAME.format("m", 0)})), ',')) AS digest FROM p"""
+SQL["post_template"] = f"""SELECT doc_id, (len(a) + 3)::INT AS n, md5(array_to_string(list_concat(list_concat(list_concat(list_concat([7, 9], list_concat(a, [8])), list_concat([0, 0], list_concat({_SAME.format("len(a)", 3)}, [5]))),
+  list_concat([1, 1], list_concat({_SAME.format("len(a)", 0)}, [1]))), {_SAME.format("len(a) + 3", 1)}), ',')) AS digest FROM (SELECT doc_id, {_DUCK_LENGTHS} AS a FROM documents)"""
+# without its last byte, a word ends in a part of a character unless that one is of ASCII
 SQL["decode_bytefallback"] = f"""SELECT doc_id, (len(p) + coalesce(list_sum(list_transform(p, lambda x: CASE WHEN x.run AND x.bad THEN x.n - 1 WHEN x.run AND x.n = 0 THEN -1 ELSE 0 END)), 0))::INT AS n, md5(array_to_string(list_transform(p, lambda x: x.t), '')) AS digest
 FROM (SELECT doc_id, list_transform({_WORDS_SQL}, lambda w, i: CASE WHEN i % 2 = 0 THEN {{'run': false, 'bad': false, 'n': 0, 't': w}} WHEN strlen(w) % 3 <> 0 THEN {{'run': true, 'bad': false, 'n': strlen(w), 't': w}}
   WHEN strlen(w[-1:]) = 1 THEN {{'run': true, 'bad': false, 'n': strlen(w) - 1, 't': w[:-2]}} ELSE {{'run': true, 'bad': true, 'n': strlen(w) - 1, 't': repeat('\ufffd', strlen(w) - 1)}} END) AS p FROM documents)"""
