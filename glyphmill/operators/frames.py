@@ -8,7 +8,7 @@ counts are asked for, token_frequencies() runs the model once for each distinct
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
 import pandas as pd
@@ -123,6 +123,12 @@ class TextPipeline:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
         return _added_column(df, out, "array<int>", _INTS, [text], lambda: Tokenizer(known.value).ids, self.permissive)
 
+    def corpus_ids(self, df: DataFrame, key: Sequence[str], text: str = "text", out: str = "ids") -> DataFrame:
+        """The key columns and ids of a large table, by a dictionary of its words (plans.dictionary); for specs that are expressions."""
+        from ..plans import dictionary
+
+        return dictionary.encode(df, self.spec, key, text, out=out)
+
     def count_tokens(self, df: DataFrame, text: str = "text", out: str = "n_tokens") -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
 

@@ -275,16 +275,16 @@ LETTERS_SPEC = Spec.of({"model": {"type": "BPE", "vocab": {t: i for i, t in enum
 
 def _words(name: str, spec: Spec, sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words = _docs(spark, sf_dir).select(F.explode(expr.pieces(F.lower("text"), "[a-z]+")).alias("word")).distinct()
+        words = _docs(spark, sf_dir).select(F.explode(expr.whitespace(F.lower("text"))).alias("word")).distinct()
         found = TextPipeline(spec).encode(words, "word", "e", add_special=False)
         return found.select("word", F.size("e.tokens").alias("n"), F.array_join("e.tokens", " ").alias("pieces"))
 
     QUERIES[name] = query
-    SQL[name] = f"SELECT word, len(p)::INT AS n, array_to_string(p, ' ') AS pieces FROM (SELECT word, {sql} AS p FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents))"
+    SQL[name] = f"SELECT word, len(p)::INT AS n, array_to_string(p, ' ') AS pieces FROM (SELECT word, {sql} AS p FROM (SELECT DISTINCT unnest({_TOKENS.replace('(text', '(lower(text)')}) AS word FROM documents))"
 
 
-_words("wordpiece_tokens", WORDPIECE_SPEC, f"CASE WHEN len(word) > 100 THEN ['[UNK]'] ELSE list_transform(regexp_extract_all(word, '{'|'.join(_STEMS)}|[a-z]'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END) END")
-_words("bpe_tokens", LETTERS_SPEC, "regexp_extract_all(word, 'th|an|er|[a-z]')")
+_words("wordpiece_tokens", WORDPIECE_SPEC, f"CASE WHEN len(word) > 100 OR regexp_matches(word, '[^a-z]') THEN ['[UNK]'] ELSE list_transform(regexp_extract_all(word, '{'|'.join(_STEMS)}|[a-z]'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END) END")
+_words("bpe_tokens", LETTERS_SPEC, "regexp_extract_all(regexp_replace(word, '[^a-z]', '', 'g'), 'th|an|er|[a-z]')")  # what the model doesn't know is left out
 
 # best paths over the words of the corpus; scores of eighths add up exactly, and some paths are equal
 _UNIGRAM_PIECES = {**{c: -2.0 - 0.125 * (i % 5) for i, c in enumerate(_LETTERS)}, "th": -3.0, "he": -3.125, "the": -4.0, "in": -3.25, "ing": -4.25, "er": -3.0, "re": -3.0, "tion": -5.5, "on": -3.5, "an": -3.125, "and": -4.5, "en": -3.25, "sch": -4.75, "ch": -3.5, "la": -3.375, "el": -3.125}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import expr, pipeline
 from glyphmill.operators import stages
+from glyphmill.operators.frames import TextPipeline
 from glyphmill.operators.tokenizer import Spec, Tokenizer
 from glyphmill.plans import dictionary
 from glyphmill.plans.queries import BPE_SPEC
@@ -42,6 +43,7 @@ def test_dictionary_of_another_corpus_and_empty_tables(spark):
     t = Tokenizer(BPE_SPEC)
     for known in (dictionary.words(none, BPE_SPEC), dictionary.words(spark.createDataFrame([("other words",)], "text string"), BPE_SPEC)):
         assert {r["id"]: r["ids"] for r in dictionary.encode(df, BPE_SPEC, ["id"], dictionary=known).collect()} == {1: t.ids("the ing"), 2: t.ids("on")}
+    assert {r["id"]: r["e"] for r in TextPipeline(BPE_SPEC).corpus_ids(df, ["id"], out="e").collect()} == {1: t.ids("the ing"), 2: t.ids("on")}
     assert dictionary.encode(none, BPE_SPEC, ["id"]).collect() == [] and dictionary.words(none, BPE_SPEC).count() == 0
 
 
