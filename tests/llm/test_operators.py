@@ -215,7 +215,7 @@ def test_pipeline(spark, sf):
     labeller = language.Labeller(language.fit(documents, learns=language.learnable()))
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     found = {i: labeller.label(t) for i, t in texts.items()}
-    kept = {i for i, (lang, score, _) in found.items() if lang != "und" and score >= corpus_pipeline.LEAST_SHARE}
+    kept = {i for i, (lang, score, *_) in found.items() if lang != "und" and score >= corpus_pipeline.LEAST_SHARE}
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     kept &= {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality.ORACLE_SQL}) WHERE kept").fetchall()}
