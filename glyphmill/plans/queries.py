@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Callable
 
@@ -224,10 +225,21 @@ def _kernel(name: str, normalizer: dict, sql: str | None) -> None:
 
 
 _kernel("norm_nfc", {"type": "NFC"}, "nfc_normalize(text)")
-_kernel("norm_nfd", {"type": "NFD"}, None)
-_kernel("norm_nfkc", {"type": "NFKC"}, None)
-_kernel("norm_nfkd", {"type": "NFKD"}, None)
-_kernel("norm_bert", {"type": "BertNormalizer"}, None)
+
+
+def _decomposed_sql(form: str) -> str:
+    """The text with each character of the Latin blocks and of general punctuation decomposed; others have none in these tables."""
+    sql = "text"
+    for c in map(chr, [*range(0xA0, 0x250), *range(0x2000, 0x2070), *range(0xFB00, 0xFB07)]):
+        if (new := unicodedata.normalize(form, c)) != c:
+            sql = f"replace({sql}, '{c}', '{new}')"
+    return sql
+
+
+_kernel("norm_nfd", {"type": "NFD"}, _decomposed_sql("NFD"))
+_kernel("norm_nfkd", {"type": "NFKD"}, _decomposed_sql("NFKD"))
+_kernel("norm_nfkc", {"type": "NFKC"}, f"nfc_normalize({_decomposed_sql('NFKD')})")
+_kernel("norm_bert", {"type": "BertNormalizer"}, f"lower(regexp_replace(regexp_replace(regexp_replace({_decomposed_sql('NFD')}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s', ' ', 'g'), '\\p{{Mn}}', '', 'g'))")
 
 
 def _offsets(spark: SparkSession, sf_dir: str, normal: dict | None, pre: dict) -> DataFrame:
