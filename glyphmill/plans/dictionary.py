@@ -15,6 +15,7 @@ one key while they are cut. Ties in frequency go by the word. Empty tables give
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,7 +32,7 @@ WORDS, LONGEST = 1 << 16, 64
 REMEMBERED = 500_000
 _IDS = pa.list_(pa.int32())
 #: What a Python worker keeps from task to task: the latest spec's ids of words.
-_KEPT: dict[int, "_Words"] = {}
+_KEPT: dict[str, "_Words"] = {}
 
 
 class _Words(dict):
@@ -49,13 +50,13 @@ class _Words(dict):
 
 
 class _Model:
-    """A spec's model, for tasks; known by a number, so that a worker builds it once."""
+    """A spec's model, for tasks; known by a token, so that a worker builds it once."""
 
     def __init__(self, df: DataFrame, spec: Spec):
         if spec.added:
             raise pipeline.Unsupported("added tokens are found before words")
         self.cut, self.mapped = pipeline.pieces(spec.normalizer, spec.pre_tokenizer)
-        self.spec, self.token = df.sparkSession.sparkContext.broadcast(spec), id(self)
+        self.spec, self.token = df.sparkSession.sparkContext.broadcast(spec), uuid.uuid4().hex
 
     def __getstate__(self):
         return {"spec": self.spec, "mapped": self.mapped, "token": self.token}
