@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions import templates
+from . import stages
 from .tokenizer import Encoding, Spec, Tokenizer
 
 if TYPE_CHECKING:
@@ -150,13 +151,7 @@ class TextPipeline:
     def normalize(self, df: DataFrame, text: str = "text", out: str = "normalized") -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
 
-        def make():
-            from .aligned import Aligned
-
-            t = Tokenizer(known.value)
-            return lambda x: t.normalize(Aligned.of(x)).text
-
-        return _added_column(df, out, "string", pa.string(), [text], make)
+        return _added_column(df, out, "string", pa.string(), [text], lambda: stages.text_normalizer(known.value.normalizer))
 
     def pre_tokenize(self, df: DataFrame, text: str = "text", out: str = "pieces") -> DataFrame:
         """Pieces with byte offsets in the original."""

@@ -219,7 +219,7 @@ FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id"""
 
 def _kernel(name: str, normalizer: dict, sql: str | None) -> None:
     spec = Spec.of({"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "normalizer": normalizer})
-    QUERIES[name] = lambda spark, d: TextPipeline(spec).normalize(_docs(spark, d)).select("doc_id", F.octet_length("normalized").alias("n_bytes"), F.md5("normalized").alias("digest"))
+    QUERIES[name] = lambda spark, d: TextPipeline(spec).normalize(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.octet_length("normalized").alias("n_bytes"), F.md5("normalized").alias("digest"))
     if sql:
         SQL[name] = f"SELECT doc_id, strlen(t)::INT AS n_bytes, md5(t) AS digest FROM (SELECT doc_id, {sql} AS t FROM documents)"
 

@@ -1,10 +1,10 @@
 """Kernels of single stages; inputs are this suite's own, expected values follow from each stage's definition."""
 
 import pytest
-from hypothesis import given, strategies as st
+from hypothesis import given, settings, strategies as st
 
 from glyphmill.operators.aligned import CONTIGUOUS, ISOLATED, NEXT, PREVIOUS, REMOVED, Aligned, Pattern
-from glyphmill.operators.stages import BPE, BYTE_PATTERN, SpecError, Unigram, WordLevel, WordPiece, decoder, normalizer, pre_tokenizer
+from glyphmill.operators.stages import BPE, BYTE_PATTERN, SpecError, Unigram, WordLevel, WordPiece, decoder, normalizer, pre_tokenizer, text_normalizer
 
 
 def cut(kind, text, **more):
@@ -84,3 +84,15 @@ def test_decoders():
     assert "".join(run("Metaspace", ["▁go", "▁on"])) == "go on"
     with pytest.raises(SpecError):
         decoder({"type": "BPE", "suffix": ""})
+
+
+FORMS = [*({"type": t} for t in ("NFC", "NFKC", "NFD", "NFKD", "BertNormalizer", "Nmt", "Lowercase", "StripAccents", "ByteLevel", "Strip")), {"type": "BertNormalizer", "lowercase": False, "strip_accents": True}, None]
+FORMS.append({"type": "Sequence", "normalizers": [{"type": "Prepend", "prepend": "x"}, {"type": "NFD"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": "e"}, {"type": "NFC"}]})
+ODD = "aẹ́ ̀ÅÅ각가ﬁ①̈́क़\x07\t\xa0中İΣẛ\U0001d15e\U0001f600‍"
+
+
+@settings(deadline=None)  # the first builds tables
+@given(st.text(st.sampled_from(ODD) | st.characters(exclude_categories=["Cs"])))
+def test_texts_as_a_whole_equal_aligned_ones(text):
+    for spec in FORMS:
+        assert text_normalizer(spec)(text) == normalizer(spec)(Aligned.of(text)).text, spec
