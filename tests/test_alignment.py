@@ -1,8 +1,10 @@
 """Pieces and offsets by expressions against the kernels."""
 
+import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.functions import alignment
 from glyphmill.functions.pipeline import Unsupported
@@ -39,3 +41,18 @@ def test_unsupported_and_empty(spark):
     for normal in ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "a*"}, "content": "b"}):
         with pytest.raises(Unsupported):
             alignment.pre_tokenize(df, normal, None)
+
+
+def test_no_array_a_byte_where_runs_do(spark):
+    """A text without steps has no arrays of places, starts come without an entry a byte, and steps take runs over as slices."""
+    df = spark.createDataFrame([("the é",)], "text string")
+    plan = lambda normal: alignment.pre_tokenize(df, normal, {"type": "WhitespaceSplit"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "0_from" not in plan(None) and "array_repeat(false" not in plan(None)
+    lower = plan({"type": "Lowercase"})
+    assert "slice(__a0_from" in lower and "array_repeat(false" not in lower
+
+
+def test_starts_of_many_pieces(spark):
+    rows = [[RNG.randint(1, 9) for _ in range(n)] for n in (0, 1, 31, 32, 33, 64, 1024, 1025, 33_000, 70_001)]
+    got = spark.createDataFrame([(k, r) for k, r in enumerate([*rows, None])], "k int, n array<int>").select("k", alignment.starts(F.col("n")).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in got] == [[*itertools.accumulate(r, initial=0)][: len(r)] for r in rows] + [None]
