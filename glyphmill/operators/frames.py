@@ -38,6 +38,8 @@ _ARROW = pa.struct([("ids", _INTS), ("type_ids", _INTS), ("tokens", pa.list_(pa.
 
 #: Bytes of texts and the rows that are worked on, and handed on, at a time.
 PORTION = 4 << 20
+#: Rows at most, as what is made of short texts is many times as large.
+ROWS = 1 << 11
 #: Workers keep what they have built for the latest query.
 _KEPT: dict[str, Callable] = {}
 #: The column of an error message beside a permissive result, and the name under which errors are counted.
@@ -48,7 +50,7 @@ def _portions(batch: pa.RecordBatch, at: list[int]) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about PORTION bytes in the columns read, so that rows of long texts don't pile up."""
     if not batch.num_rows:
         return
-    rows = max(1, batch.num_rows * PORTION // max(PORTION, sum(batch.column(i).nbytes for i in at)))
+    rows = min(ROWS, max(1, batch.num_rows * PORTION // max(PORTION, sum(batch.column(i).nbytes for i in at))))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 

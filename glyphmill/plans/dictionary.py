@@ -1,15 +1,14 @@
 """Encoding of a corpus by a dictionary of its words: texts are cut in the JVM, and the model sees words, not texts.
 
 words() counts the pieces of a corpus (partial counts before the shuffle) and runs the model once for each of the most frequent
-ones. encode() deals texts out by their key, cuts each into pieces with an expression, joins these with the dictionary and puts
-their ids together again by position. The dictionary has at most WORDS rows of at most LONGEST characters, so it is broadcast:
-pieces stay where they are, however frequent one is, and as rows of a key are together already, nothing but texts is ever shuffled. By
-Zipf's law few pieces are left without ids. Only these go to Python, as an array a text, where each worker runs the model once a
-word; ids are put between the others by position.
+ones. encode() cuts texts into pieces with an expression, one row each, and joins these with the dictionary, which has at most WORDS rows
+of at most LONGEST characters and is broadcast: pieces stay where they are and in their order, however frequent one is, and nothing is
+shuffled or sorted. So Python gets a text's ids piece by piece and hands them on as one array; a piece that the dictionary lacks comes as a
+word. By Zipf's law these are few; each worker runs the model once for those that it remembers.
 
 Any dictionary fits any corpus: words that it doesn't hold cost more, they don't change what comes out. Null texts have null ids,
-empty ones none. Repeated keys and rows are encoded each for itself, as many rows come out as went in. Very long texts are rows of
-one key while they are cut. Ties in frequency go by the word. Empty tables give empty ones.
+empty ones none. Repeated keys and rows are encoded each for itself, as many rows come out as went in. Of a text only its ids are held
+at a time. Ties in frequency go by the word. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import expr, pipeline
 from ..operators import stages
@@ -28,8 +27,8 @@ from ..operators.tokenizer import Spec, Tokenizer
 
 #: Words of a dictionary and characters of a word, at most: what is broadcast.
 WORDS, LONGEST = 1 << 16, 64
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Words that a worker remembers, of at most LONGEST characters.
+REMEMBERED = 1 << 16
 _IDS = pa.list_(pa.int32())
 #: What a Python worker keeps from task to task: the latest spec's ids of words.
 _KEPT: dict[str, "_Words"] = {}
@@ -43,9 +42,11 @@ class _Words(dict):
         self.model, self.mapped = Tokenizer(spec).model, mapped
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[word] = [t[0] for t in self.model.tokenize(stages.byte_level(word) if self.mapped else word)]
+        found = [t[0] for t in self.model.tokenize(stages.byte_level(word) if self.mapped else word)]
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -83,54 +84,78 @@ def words(df: DataFrame, spec: Spec, text: str = "text", most: int = WORDS) -> D
     return top.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "word string, n long, ids array<int>")
 
 
-def _encoded(df: DataFrame, spec: Spec, key: Sequence[str], text: str, dictionary: DataFrame | None, of: Column, fill) -> DataFrame:
-    """A row for each row of df: its key and what fill makes of found, what each piece has of the dictionary (of), and rest."""
+def _encoded(df: DataFrame, spec: Spec, key: Sequence[str], text: str, dictionary: DataFrame | None, of: Column, out: str, kind: str) -> DataFrame:
+    """A row for each row of df: its key, and as out the ids of all its pieces, or their number. of: what a piece has of the dictionary."""
     model = _Model(df, spec)
     known = F.broadcast((words(df, spec, text) if dictionary is None else dictionary).select(F.col("word").alias("__word"), of.alias("__has")))
-    keys, own = [f"__key{k}" for k in range(len(key))], ["__digest", "__more", "__none"]
-    rows = df.select(*(F.col(k).alias(a) for k, a in zip(key, keys)), F.xxhash64(text).alias("__digest"), F.hash(text).alias("__more"), F.col(text).isNull().alias("__none"), F.col(text).alias("__text"))
-    dealt = rows.repartition(*keys, "__digest", "__more", "__none")
-    pieces = dealt.select(*keys, *own, F.posexplode_outer(model.cut(F.col("__text"))).alias("__at", "__word")).join(known, "__word", "left")
-    entry = F.struct(F.col("__at").alias("at"), F.col("__has").alias("has"), F.when(F.col("__has").isNull(), F.col("__word")).alias("word"))
-    # rows that are alike in all of this have each position as often as there are of them
-    texts = pieces.groupBy(*keys, *own).agg(F.sort_array(F.collect_list(F.when(F.col("__at").isNotNull(), entry))).alias("__all"), F.greatest(F.count_if(F.col("__at") == 0), F.count_if(F.col("__at").isNull())).alias("__times"))
-    once = F.when(F.col("__times") == 1, F.col("__all")).otherwise(F.filter("__all", lambda x, i: i % F.col("__times") == 0))
-    texts = texts.withColumn("__once", once)
-    left = F.transform(F.filter("__once", lambda x: x["has"].isNull()), lambda x: x["word"])
-
-    @F.arrow_udf("array<array<int>>")
-    def by_model(unknown: pa.Array) -> pa.Array:
-        found = unknown.flatten().dictionary_encode()
-        remembered = model.words() if len(found) else {}
-        each = pa.array([remembered[w] for w in found.dictionary.to_pylist()], _IDS)
-        ends = np.concatenate([[0], np.cumsum(unknown.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), each.take(found.indices))
-
-    filled = fill(texts.withColumn("__rest", by_model(left)))
-    return filled.select(*(F.col(a).alias(k) for k, a in zip(key, keys)), F.when(~F.col("__none"), F.col("__out")).alias("__out"), F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).drop("col")
+    keys = [f"__key{k}" for k in range(len(key))]
+    rows = df.select(*(F.col(k).alias(a) for k, a in zip(key, keys)), F.col(text).isNull().alias("__none"), F.col(text).alias("__text"))
+    pieces = rows.select(*keys, "__none", F.posexplode_outer(model.cut(F.col("__text"))).alias("__at", "__word")).join(known, "__word", "left")
+    # the pieces of a row follow one another: its key goes with the first, and words only where the dictionary lacks them
+    first = F.coalesce(F.col("__at") == 0, F.lit(True))
+    sent = pieces.select(*(F.when(first, F.col(k)).alias(k) for k in keys), first.alias("__first"), "__none", "__has", F.when(F.col("__has").isNull(), F.col("__word")).alias("__word"))
+    fields = [T.StructField(k, sent.schema[a].dataType) for k, a in zip(key, keys)]
+    n, counted = len(keys), kind == "int"
+
+    def values(batch: pa.RecordBatch) -> tuple[pa.Array | None, np.ndarray]:
+        """The ids of all pieces one after another (not if they are only counted), and where each piece's end."""
+        has, word = batch.column(n + 2), batch.column(n + 3)
+        lacking = np.flatnonzero(word.is_valid().to_numpy(zero_copy_only=False))
+        if len(lacking):
+            remembered, coded = model.words(), word.take(pa.array(lacking)).dictionary_encode()
+            made = [remembered[w] for w in coded.dictionary.to_pylist()]
+            own = pa.array([len(ids) for ids in made], pa.int32()) if counted else pa.array(made, _IDS)
+            at = np.arange(len(has))
+            at[lacking] = len(has) + coded.indices.to_numpy()
+            has = pa.concat_arrays([has.cast(own.type), own]).take(pa.array(at))
+        sizes = (has if counted else has.value_lengths()).fill_null(0).to_numpy()
+        return None if counted else has.flatten(), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] | None = None  # keys, and whether it is null, of a row that may go on in the next batch
+        parts: list = []
 
-def encode(df: DataFrame, spec: Spec, key: Sequence[str], text: str = "text", dictionary: DataFrame | None = None, out: str = "ids") -> DataFrame:
-    """The key columns and the ids of each text, by a dictionary (that of df, if none is given)."""
+        def rows_of(head: list[pa.Array], ids: pa.Array | None, ends: np.ndarray) -> pa.RecordBatch:
+            none = head[n].to_numpy(zero_copy_only=False)
+            found = pa.array(np.diff(ends), pa.int32(), mask=none) if counted else pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), ids, mask=pa.array(none))
+            return pa.RecordBatch.from_arrays([*head[:n], found], [*key, out])
 
-    def fill(texts: DataFrame) -> DataFrame:
-        pair = lambda at, ids: F.struct(at.alias("at"), ids.alias("ids"))
-        gaps = F.transform(F.filter("__once", lambda x: x["has"].isNull()), lambda x: x["at"])
-        both = F.concat(F.transform(F.filter("__once", lambda x: x["has"].isNotNull()), lambda x: pair(x["at"], x["has"])), F.zip_with(gaps, "__rest", pair))
-        ordered = F.when(F.size("__rest") == 0, F.transform("__once", lambda x: x["has"])).otherwise(F.transform(F.sort_array(both), lambda x: x["ids"]))
-        return texts.withColumn("__out", F.flatten(ordered))
+        def finished() -> pa.RecordBatch:
+            ids = None if counted else pa.concat_arrays(parts)
+            return rows_of(held, ids, np.array([0, sum(parts) if counted else len(ids)]))
 
-    return _encoded(df, spec, key, text, dictionary, F.col("ids"), fill).withColumnRenamed("__out", out)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, ends = values(batch)
+            span = lambda a, b: int(b - a) if counted else ids.slice(a, b - a)  # noqa: B023, E731
+            starts = np.flatnonzero(batch.column(n).to_numpy(zero_copy_only=False))
+            cuts = ends[starts]
+            if held is not None:
+                parts.append(span(0, cuts[0] if len(starts) else ends[-1]))
+            if not len(starts):
+                continue
+            if held is not None:
+                yield finished()
+            heads = batch.take(pa.array(starts))
+            heads = [heads.column(i) for i in (*range(n), n + 1)]
+            if len(starts) > 1:
+                yield rows_of([c.slice(0, len(starts) - 1) for c in heads], None if counted else span(cuts[0], cuts[-1]), cuts)
+            held, parts = [c.slice(len(starts) - 1) for c in heads], [span(cuts[-1], ends[-1])]
+        if held is not None:
+            yield finished()
+
+    return sent.mapInArrow(run, T.StructType([*fields, T.StructField(out, T._parse_datatype_string(kind))]))
 
 
-def count(df: DataFrame, spec: Spec, key: Sequence[str], text: str = "text", dictionary: DataFrame | None = None, out: str = "n_tokens") -> DataFrame:
-    """The key columns and the number of tokens of each text; only numbers travel with the pieces."""
+def encode(df: DataFrame, spec: Spec, key: Sequence[str], text: str = "text", dictionary: DataFrame | None = None, out: str = "ids") -> DataFrame:
+    """The key columns and the ids of each text, by a dictionary (that of df, if none is given)."""
+    return _encoded(df, spec, key, text, dictionary, F.col("ids"), out, "array<int>")
 
-    def fill(texts: DataFrame) -> DataFrame:
-        total = F.aggregate("__once", F.lit(0), lambda n, x: n + F.coalesce(x["has"], F.lit(0)))
-        return texts.withColumn("__out", F.aggregate("__rest", total, lambda n, ids: n + F.size(ids)))
 
-    return _encoded(df, spec, key, text, dictionary, F.size("ids"), fill).withColumnRenamed("__out", out)
+def count(df: DataFrame, spec: Spec, key: Sequence[str], text: str = "text", dictionary: DataFrame | None = None, out: str = "n_tokens") -> DataFrame:
+    """The key columns and the number of tokens of each text; only numbers travel with the pieces."""
+    return _encoded(df, spec, key, text, dictionary, F.size("ids"), out, "int")
 
 
 def tokens(spec: Spec, ids: Column) -> Column:
