@@ -144,9 +144,10 @@ def wordlevel_unk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wordlevel_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    words = docs.select("doc_id", F.explode(_w(F.lower("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
+    # the words of a document are together: partial sums leave a row or two of it, and no word is shuffled
+    words = docs.select("doc_id", F.explode(_w(F.lower("text"))).alias("token"))
     known = words.join(F.broadcast(_vocabulary(docs).select("token", "id")), "token", "left").withColumn("id", F.coalesce("id", F.lit(0)))
-    return known.groupBy("doc_id").agg(F.sum("m").alias("n_tokens"), F.sum(F.col("id") * F.col("m")).alias("id_sum"))
+    return known.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("id").cast("long")).alias("id_sum"))
 
 
 QUERIES |= {f.__name__: f for f in (vocab_top_k, token_freq, wordlevel_unk_rate, wordlevel_ids)}
@@ -387,9 +388,10 @@ def _digest_of(e: str) -> Column:
 def pair_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's words and its marks and words (as ids, their lengths) as a pair, cut to 512 and filled up to a multiple of 8."""
     bert = {"type": "BertProcessing", "cls": ["[CLS]", 101], "sep": ["[SEP]", 102]}
-    words = F.transform(expr.whitespace_split(F.col("text")), F.char_length)
-    pair = encodings.truncated(encodings.processed(bert, words, _lengths(F.col("text"))), 512)
-    cut = _docs(spark, sf_dir).select("doc_id", pair.alias("e"))
+    # each step a column of its own, which the next one reads more than once
+    ids = _docs(spark, sf_dir).select("doc_id", F.transform(expr.whitespace_split(F.col("text")), F.char_length).alias("a"), _lengths(F.col("text")).alias("b"))
+    pairs = ids.select("doc_id", encodings.processed(bert, F.col("a"), F.col("b")).alias("e"))
+    cut = pairs.select("doc_id", encodings.truncated(F.col("e"), 512).alias("e"))
     return cut.select("doc_id", encodings.padded(F.col("e"), expr.rounded(F.size("e.ids"), 8)).alias("e")).select("doc_id", F.size("e.ids").alias("n"), _digest_of("e").alias("digest"))
 
 
