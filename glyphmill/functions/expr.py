@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -137,6 +138,15 @@ def unicode_scripts(t: Column, names: list[str]) -> Column:
     return pieces(t, scripts_pattern(names))
 
 
+def lookup(values: dict[str, object], kind: str):
+    """An expression of struct<key, value> of a string, null for what is no key: a constant table of short rows by the string's CRC."""
+    rows: list[list[dict]] = [[] for _ in range(max(1, len(values)))]
+    for key, value in values.items():
+        rows[zlib.crc32(key.encode()) % len(rows)].append({"key": key, "value": value})
+    table = F.from_json(F.lit(json.dumps(rows)), f"array<array<struct<key:string,value:{kind}>>>")
+    return lambda t: F.get(F.filter(F.get(table, (F.crc32(t) % len(rows)).cast("int")), lambda row: row["key"] == t), F.lit(0))
+
+
 def trie(words: list[str]) -> str:
     """A pattern of the longest of many words: they share the patterns of their beginnings, so each character is looked at once."""
     root: dict = {}
@@ -162,11 +172,9 @@ def added_tokens(t: Column, ids: dict[str, int]) -> Column:
     tokens = [w for w in ids if w]
     if not tokens:
         return F.when(t.isNotNull(), F.transform(F.filter(F.array(t), lambda x: x != ""), lambda x: F.struct(x.alias("text"), F.lit(None).cast("int").alias("id"))))
-    known = trie(tokens)
-    java = f"({known})|(?:(?!{known})(?s:.))+"
-    names, numbers = F.from_json(F.lit(json.dumps(tokens)), "array<string>"), F.from_json(F.lit(json.dumps([ids[w] for w in tokens])), "array<int>")
-    found = F.zip_with(F.regexp_extract_all(t, F.lit(java), F.lit(0)), F.regexp_extract_all(t, F.lit(java), F.lit(1)), lambda piece, token: F.struct(piece.alias("text"), F.when(token != "", F.get(numbers, (F.array_position(names, token) - 1).cast("int"))).alias("id")))
-    return found
+    known, table = trie(tokens), lookup({w: ids[w] for w in tokens}, "int")
+    # what lies between tokens holds none, so that a piece that is one has been found as one
+    return F.transform(pieces(t, f"{known}|(?:(?!{known})(?s:.))+"), lambda piece: F.struct(piece.alias("text"), table(piece)["value"].alias("id")))
 
 
 def split_on(t: Column, c: str, behavior: str) -> Column:
@@ -227,16 +235,22 @@ def decode_replace(a: Column, old: str, new: str) -> Column:
 def byte_fallback(a: Column) -> Column:
     """Runs of byte tokens as texts, or as U+FFFD for each byte of a run that is no UTF-8; other tokens as they are.
 
-    All tokens are written in hexadecimal digits behind a letter that tells their kind, so that one pattern finds the runs.
+    All tokens are written in hexadecimal digits behind a letter, so that one pattern finds the runs, and a run is turned back as a whole.
     """
-    digits = lambda t: F.hex(F.encode(t, "UTF-8"))
-    row = F.array_join(F.transform(a, lambda t: F.when(t.rlike(r"\A<0x[0-9A-Fa-f]{2}>\z"), F.concat(F.lit("x"), F.upper(F.substring(t, 4, 2)))).otherwise(F.concat(F.lit("y"), digits(t)))), "")
+    digit = "(?![46][07-9])[346][0-9]"
+    token = f"y3C3078{digit}{digit}3E(?![0-9A-F])"
+    row = F.array_join(F.transform(a, lambda t: F.concat(F.lit("y"), F.hex(t))), "")
+
+    def text(run: Column) -> Column:
+        return F.unhex(F.translate(run, "y", "")).cast("string")
 
     def back(run: Column) -> Column:
-        text = F.unhex(F.translate(run, "xy", "")).cast("string")
-        return F.when(F.is_valid_utf8(text), F.array(text)).otherwise(F.array_repeat(F.lit("\ufffd"), (F.length(run) / 3).cast("int")))
+        made = F.unhex(F.replace(F.replace(text(run), F.lit("<0x"), F.lit("")), F.lit(">"), F.lit(""))).cast("string")
+        valid = F.transform(F.array(made), lambda m: F.when(F.is_valid_utf8(m), m))
+        whole = F.flatten(F.transform(valid, lambda m: F.when(m.isNotNull(), F.array(m)).otherwise(F.array_repeat(F.lit("\ufffd"), (F.length(run) / 13).cast("int")))))
+        return F.when(run.startswith("y3C3078") & run.rlike(rf"\A{token}"), whole).otherwise(F.array(text(run)))
 
-    return F.flatten(F.transform(pieces(row, "(?:x..)+|y[0-9A-F]*"), back))
+    return F.flatten(F.transform(pieces(row, f"(?:{token})+|y[0-9A-F]*"), back))
 
 
 def decode_byte_fallback(a: Column) -> Column:

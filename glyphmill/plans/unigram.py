@@ -1,13 +1,13 @@
 """The Unigram model's best path as a fold, over the words of a corpus as a table.
 
 Every piece of the vocabulary that a word holds is an edge from where it begins to where it ends: the substrings of at most the longest
-piece's characters, joined with the vocabulary, which is broadcast (its size is the model's, not the corpus'). A character that is no
-piece is an edge of its own, at ten below the lowest score. A word's edges, grouped by their ends, are folded from left to right; the
+piece's characters, looked up in a constant table (its size is the model's, not the corpus'). A character that is no
+piece is an edge of its own, at ten below the lowest score. A word's edges, by their ends, are folded from left to right; the
 accumulator holds the best scores of the last places only, as many as the longest piece has characters, and where each best path
-comes from. A second fold goes back along it and puts neighbouring unknown characters together.
+comes from. A second fold goes back along it and puts neighbouring unknown characters together. Nothing but distinct words is shuffled.
 
 Of equal scores the longer last piece wins. Words come once, however often they are in the corpus; null isn't a word, the empty word
-has no pieces and the score 0. A word's edges are one group, so words of many thousand characters take time with the square of their
+has no pieces and the score 0. A word's edges are one value, so words of many thousand characters take time with the square of their
 length: a pre-tokenizer comes before. Empty tables give empty ones.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import expr
 from ..functions.pipeline import Unsupported
 from ..operators.tokenizer import Spec
 
@@ -23,27 +24,20 @@ BELOW = 10.0
 PATH = "array<struct<start:int,unknown:boolean,id:int>>"
 
 
-def vocabulary(df: DataFrame, spec: Spec) -> DataFrame:
-    """piece, score, id of a Unigram model; of a piece that comes twice the last."""
+def _ends(word: Column, spec: Spec, longest: int, unknown: float) -> Column:
+    """For each end in a word, in order, the edges that end there, from the longest to the shortest."""
     if spec.model.get("byte_fallback"):
         raise Unsupported("no expression for bytes of unknown characters")
-    last = {piece: (float(score), i) for i, (piece, score) in enumerate(spec.model["vocab"])}
-    return df.sparkSession.createDataFrame([(p, *x) for p, x in last.items()], "piece string, score double, id int")
-
-
-def _edges(words: DataFrame, known: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """word, and for each end in order the edges that end there, from the longest to the shortest."""
-    size, at = F.char_length("word"), F.col("start")
-    # starts and ends of all substrings that may be pieces
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start")).where("word <> ''")
-    spans = starts.select("word", "start", F.explode(F.sequence(at, F.least(size, at + (longest - 1)))).alias("end"))
-    named = spans.select("word", "start", "end", F.substring(F.col("word"), at, F.col("end") - at + 1).alias("piece"))
-    found = named.join(F.broadcast(known), "piece", "left").where("score IS NOT NULL OR start = end")
-    edge = F.struct((F.col("start") - 1).alias("start"), F.coalesce("score", F.lit(unknown)).alias("score"), F.isnull("score").alias("unknown"), F.col("id"))
-    # of one word together first, so that both groupings find them there; in as many parts as are set, as the folds are work, not bytes
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ending = found.repartition(parts, "word").groupBy("word", "end").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return ending.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
+    # of a piece that comes twice the last
+    known = expr.lookup({piece: {"score": float(score), "id": i} for i, (piece, score) in enumerate(spec.model["vocab"])}, "struct<score:double,id:int>")
+
+    def edges(end: Column) -> Column:
+        starts = F.sequence(F.greatest(F.lit(0), end - longest), end - 1)
+        found = F.transform(starts, lambda at: F.struct(at.alias("start"), known(F.substring(word, at + 1, end - at))["value"].alias("has")))
+        kept = F.filter(found, lambda x: x["has"].isNotNull() | (x["start"] == end - 1))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.coalesce(x["has"]["score"], F.lit(unknown)).alias("score"), x["has"].isNull().alias("unknown"), x["has"]["id"].alias("id")))
+
+    return F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda end: F.struct(end.alias("end"), edges(end).alias("edges")))
 
 
 def _forward(ends: Column, longest: int) -> Column:
@@ -81,12 +75,14 @@ def _back(path: Column) -> Column:
 
 def best_paths(words: DataFrame, spec: Spec) -> DataFrame:
     """word, score, pieces (text, id) of each distinct word of a column `word`."""
-    known = vocabulary(words, spec)
     scores = [float(s) for _, s in spec.model["vocab"]]
     longest = max((len(p) for p, _ in spec.model["vocab"]), default=1)
     unk = spec.model.get("unk_id")
     distinct = words.select("word").where("word IS NOT NULL").distinct()
-    folded = _edges(distinct, known, max(1, longest), min(scores, default=0.0) - BELOW).select("word", _forward(F.col("ends"), max(1, longest)).alias("f"))
+    # in as many parts as are set, as the folds are work, not bytes
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.where("word <> ''").repartition(parts, "word")
+    folded = dealt.select("word", _forward(_ends(F.col("word"), spec, max(1, longest), min(scores, default=0.0) - BELOW), max(1, longest)).alias("f"))
     paths = folded.select("word", F.element_at("f.window", -1).alias("score"), _back(F.col("f.path")).alias("p"))
 
     def of(p: Column) -> Column:
