@@ -242,13 +242,13 @@ def byte_fallback(a: Column) -> Column:
     row = F.array_join(F.transform(a, lambda t: F.concat(F.lit("y"), F.hex(t))), "")
 
     def text(run: Column) -> Column:
-        return F.unhex(F.translate(run, "y", "")).cast("string")
+        return F.unhex(F.replace(run, F.lit("y"), F.lit(""))).cast("string")
 
     def back(run: Column) -> Column:
         made = F.unhex(F.replace(F.replace(text(run), F.lit("<0x"), F.lit("")), F.lit(">"), F.lit(""))).cast("string")
         valid = F.transform(F.array(made), lambda m: F.when(F.is_valid_utf8(m), m))
         whole = F.flatten(F.transform(valid, lambda m: F.when(m.isNotNull(), F.array(m)).otherwise(F.array_repeat(F.lit("\ufffd"), (F.length(run) / 13).cast("int")))))
-        return F.when(run.startswith("y3C3078") & run.rlike(rf"\A{token}"), whole).otherwise(F.array(text(run)))
+        return F.when(run.startswith("y3C3078") & run.rlike(rf"\A{token}"), whole).otherwise(F.array(F.unhex(F.substring(run, 2, 1 << 30)).cast("string")))
 
     return F.flatten(F.transform(pieces(row, f"(?:{token})+|y[0-9A-F]*"), back))
 

@@ -404,9 +404,9 @@ def decode_bytefallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other word as byte tokens, of which every third loses its last byte, so that some are no UTF-8."""
 
     def byte_tokens(w: Column) -> Column:
-        digits = expr.pieces(F.hex(F.encode(w, "UTF-8")), "..")
-        kept = F.slice(digits, 1, F.size(digits) - F.when(F.size(digits) % 3 == 0, 1).otherwise(0))
-        return F.transform(kept, lambda h: F.concat(F.lit("<0x"), h, F.lit(">")))
+        n = F.octet_length(w)
+        kept = F.left(F.hex(w), 2 * (n - F.when(n % 3 == 0, 1).otherwise(0)))
+        return expr.pieces(F.regexp_replace(kept, "(..)", "<0x$1>"), ".{6}")
 
     tokens = F.flatten(F.transform(expr.whitespace_split(F.col("text")), lambda w, i: F.when(i % 2 == 0, byte_tokens(w)).otherwise(F.array(w))))
     back = _docs(spark, sf_dir).select("doc_id", expr.byte_fallback(tokens).alias("p"))

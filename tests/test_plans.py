@@ -60,3 +60,9 @@ def test_lookup(spark):
     keys = {f"{c}{n}é": n for c in "ab" for n in range(50)} | {"": -1}
     df = spark.createDataFrame([(k,) for k in [*keys, "a", "zé", None]], "k string")
     assert {r["k"]: r["v"] for r in df.select("k", expr.lookup(keys, "int")(F.col("k"))["value"].alias("v")).collect()} == keys | {"a": None, "zé": None, None: None}
+
+
+def test_byte_tokens_are_told_run_by_run(spark):
+    df = spark.createDataFrame([(["<0xC3>", "<0xA9>", "a"],)], "a array<string>")
+    (line,) = [x for x in plan(df.select(expr.byte_fallback(F.col("a")))).splitlines() if x.startswith("Project")]
+    assert "3C3078" in line and "\\A<0x" not in line  # a pattern a run, none a token
