@@ -7,16 +7,18 @@ counts are asked for, token_frequencies() runs the model once for each distinct
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions import templates
-from . import stages
+from . import places, stages
 from .tokenizer import Encoding, Spec, Tokenizer
 
 if TYPE_CHECKING:
@@ -55,11 +57,11 @@ def _portions(batch: pa.RecordBatch, at: list[int]) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def _added_column(df: DataFrame, name: str, kind: str, arrow: pa.DataType, inputs: list[str], make: Callable[[], Callable], permissive: bool = False) -> DataFrame:
+def _added_column(df: DataFrame, name: str, kind: str, arrow: pa.DataType, inputs: list[str], make: Callable[[], Callable], permissive: bool = False, array: Callable[[list], pa.Array] | None = None) -> DataFrame:
     """df with one more column, made of the inputs row by row; null if an input is null.
 
     Errors of a row end the task, or, if permissive, make its value struct<value, error>: null and the message. A bad value is then one row's
-    affair; how many there are can be observed while the query runs (observed()).
+    affair; how many there are can be observed while the query runs (observed()). array makes a column of values other than Arrow's own.
     """
     df = df.drop(name)
     at = [df.columns.index(i) for i in inputs]
@@ -85,11 +87,20 @@ def _added_column(df: DataFrame, name: str, kind: str, arrow: pa.DataType, input
         for batch in batches:
             for part in _portions(batch, at):
                 values = [None if any(v is None for v in row) else one(*row) for row in zip(*(part.column(i).to_pylist() for i in at))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, array(values) if array else pa.array(values, arrow)], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
 
+def _pieces(values: list[places.Pieces | None]) -> pa.Array:
+    """Lists of pieces, made column by column; values may be null."""
+    known = [v for v in values if v is not None]
+    empty = [np.zeros(0, np.int32)]
+    flat = pa.StructArray.from_arrays([pa.array([t for v in known for t in v[0]], pa.string()), *(pa.array(np.concatenate([v[i] for v in known] or empty), pa.int32()) for i in (1, 2))], ["text", "start", "end"])
+    ends = np.cumsum([0, *(0 if v is None else len(v[0]) for v in values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([v is None for v in values], pa.bool_()))
+
+
 def observed(df: DataFrame, column: str) -> tuple[DataFrame, Observation]:
     """df, and what a permissive column of it says once a query over it has run: rows, and errors among them."""
     counts = Observation(f"{column} {ERRORS}")
@@ -160,11 +171,20 @@ class TextPipeline:
         known = df.sparkSession.sparkContext.broadcast(self.spec)
 
         def make():
-            t = Tokenizer(known.value)
-            return lambda x: [{"text": p.text, "start": p.spans[0][0], "end": p.spans[-1][1]} for p in t.pieces(x)]
+            spec, t = known.value, Tokenizer(known.value)
+            whole = places.pieces(spec.normalizer, spec.pre_tokenizer)
+
+            def one(text):
+                if whole:
+                    with contextlib.suppress(places.EmptyMatch):
+                        return whole(text)
+                found = t.pieces(text)
+                return [p.text for p in found], np.array([p.spans[0][0] for p in found], np.int32), np.array([p.spans[-1][1] for p in found], np.int32)
+
+            return one
 
         kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        return _added_column(df, out, "array<struct<text:string,start:int,end:int>>", kind, [text], make)
+        return _added_column(df, out, "array<struct<text:string,start:int,end:int>>", kind, [text], make, array=_pieces)
 
     def token_frequencies(self, df: DataFrame, text: str = "text") -> DataFrame:
         """id, token, n over all texts: pieces are counted first, and the model runs once for each distinct piece.

@@ -243,22 +243,22 @@ _kernel("norm_nfkc", {"type": "NFKC"}, f"nfc_normalize({_decomposed_sql('NFKD')}
 _kernel("norm_bert", {"type": "BertNormalizer"}, f"lower(regexp_replace(regexp_replace(regexp_replace({_decomposed_sql('NFD')}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s', ' ', 'g'), '\\p{{Mn}}', '', 'g'))")
 
 
-def _offsets(spark: SparkSession, sf_dir: str, normal: dict | None, pre: dict) -> DataFrame:
+def _offsets(found: DataFrame) -> DataFrame:
     """Number and digest of the pieces with the bytes of the original that each comes from."""
-    found = alignment.pre_tokenize(_docs(spark, sf_dir).select("doc_id", "text"), normal, pre)
     shown = F.transform("pieces", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"), p["text"]))
     return found.select("doc_id", F.size("pieces").alias("n"), F.md5(F.array_join(shown, "\x1f")).alias("digest"))
 
 
 def offsets_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the pieces between white space."""
-    return _offsets(spark, sf_dir, None, {"type": "WhitespaceSplit"})
+    return _offsets(alignment.pre_tokenize(_docs(spark, sf_dir).select("doc_id", "text"), None, {"type": "WhitespaceSplit"}))
 
 
 def norm_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of texts that five normalizers have made longer and shorter."""
     steps = [{"type": "Strip"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Replace", "pattern": {"String": "th"}, "content": "þ"}, {"type": "Prepend", "prepend": "▁▁"}]
-    return _offsets(spark, sf_dir, {"type": "Sequence", "normalizers": steps}, {"type": "WhitespaceSplit"})
+    spec = Spec.of({"model": {"type": "WordLevel", "vocab": {"[UNK]": 0}}, "normalizer": {"type": "Sequence", "normalizers": steps}, "pre_tokenizer": {"type": "WhitespaceSplit"}})
+    return _offsets(TextPipeline(spec).pre_tokenize(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 QUERIES |= {f.__name__: f for f in (bpe_roundtrip, bpe_doc_counts, offsets_running, norm_offsets)}
